@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontam, mixing, quality, reshard
+from . import automaton_dedup, bagminhash, chat_tools, decontam, mixing, quality, reshard, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.link(chat_tools.as_tool_traffic(table(spark, sf_dir, "conversations")), chat_tools.REPLY)
+
+
+def op2_randomness_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -26,9 +34,33 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_flow_reshard, op5_histogram_mix, op6_spaced_seeds, op8_bagminhash)}
+def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_tool_links,
+    op2_randomness_tests,
+    op3_quality_cascade,
+    op4_flow_reshard,
+    op5_histogram_mix,
+    op6_spaced_seeds,
+    op7_suffix_array,
+    op8_bagminhash,
+    op9_suffix_automata,
+    op10_kneser_ney,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op5_histogram_mix": mixing.MIX_SQL.replace("{docs}", "documents").replace("SELECT d.doc_id, d.source, d.size, t.source_size", "SELECT d.doc_id, d.size, t.source_size, d.source")}
