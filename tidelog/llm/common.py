@@ -20,7 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer text is handled alone and whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes that Spark hands to a Python worker at once; one longer row goes alone.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage
     ends there, so a lost executor costs only the tasks it was running."""
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -55,6 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the wanted other columns and the text; whatever else ``docs`` has is left out."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, covered, cut, mix, slices, span_hash, prefix_hash, texts, words
+from .common import bound_batches, buffer_of, mix, slices, texts, words
 
 #: Masks over token positions, of one weight and different spans.
 MASKS = ("11110111", "1101100110101", "1110010110010011")
@@ -174,6 +174,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", masks=M
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", masks=MASKS, share: float = SHARE, match: float = MATCH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, all columns unchanged. Each block filters in place: no join, no shuffle."""
     spark = docs.sparkSession
+    bound_batches(spark)
     for block in blocks(bench, id_col, masks, block_windows):
         held = spark.sparkContext.broadcast(block)
 

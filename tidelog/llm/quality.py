@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CONT, _WS, buffer_of, grams, mix, per_doc, prefix_hash, slices, span_hash, texts, words
+from .common import _CONT, _WS, bound_batches, grams, mix, per_doc, prefix_hash, slices, span_hash, texts, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -178,6 +178,7 @@ def cascade(buf: np.ndarray, off: np.ndarray, rules, alive: np.ndarray | None =
 
 def keep_good(docs: DataFrame, rules=BASE_RULES + EXTRA_RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns unchanged."""
+    bound_batches(docs.sparkSession)
     ordered = plan(docs, rules)
     schema = docs.schema
 
