@@ -34,6 +34,28 @@ def retain(df: DataFrame, discard_ts: int, keep: int, now_ms: int, has_overlap:
     return out.drop("_counted", "_dead", "_last", "_past")
 
 
+def retain_hot(df: DataFrame, discard_ts: int, keep: int, now_ms: int, has_overlap: bool) -> DataFrame:
+    """The same rows as :func:`retain` where a few keys hold much of the data.
+
+    A key's last version looked at is the greatest that is dead or discards what
+    is earlier, or its ``keep``-th counted one, whichever is greater. Both come
+    from aggregations that shrink on the map side, without values; the rows then
+    meet their key's bound in a join, whose hot partitions Spark splits. So no
+    task holds all versions of a key, which a window would need."""
+    counted = C.visible(discard_ts) & (F.col("meta").bitwiseAND(MERGE_ENTRY) == 0)
+    gone = C.dead(now_ms)
+    slim = df.where(counted).select("user_key", "version", (gone | (F.col("meta").bitwiseAND(DISCARD_EARLIER) != 0)).alias("ends"))
+    bounds = slim.where("ends").groupBy("user_key").agg(F.max("version").alias("bound"))
+    if keep == 1:
+        bounds = slim.groupBy("user_key").agg(F.max("version").alias("bound"))
+    elif keep < KEEP_ALL:
+        w = Window.partitionBy("user_key").orderBy(F.desc("version"))
+        nth = slim.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).groupBy("user_key").agg(F.max(F.when(F.col("_rn") == keep, F.col("version"))).alias("bound"))
+        bounds = bounds.unionByName(nth).groupBy("user_key").agg(F.max("bound").alias("bound"))
+    out = df.join(bounds, "user_key", "left").where(F.col("bound").isNull() | (F.col("version") >= F.col("bound"))).drop("bound")
+    return out if has_overlap else out.where(~(counted & gone))
+
+
 def latest_versions(df: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("user_key").orderBy(F.desc("version"))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -277,6 +277,11 @@ _retention("compact_overlap", DISCARD, KEEP, True)
 _retention("discard_earlier", M.MAX_VERSION, M.KEEP_ALL, True)
 
 
+@query(_retain_sql(DISCARD, KEEP, False))
+def compact_hot_keys(spark, sf):
+    return told(retention.retain_hot(D.kv_events(spark, sf), DISCARD, KEEP, NOW, False))
+
+
 @query("m AS (SELECT user_key, version, meta + CASE WHEN version % 5 = 0 THEN 8 ELSE 0 END AS meta, user_meta, expires_at, value FROM kv), " + _retain_sql(DISCARD, 2, True, "m"))
 def merge_entries(spark, sf):
     df = D.kv_events(spark, sf).withColumn("meta", F.col("meta") + F.when(F.col("version") % 5 == 0, M.MERGE_ENTRY).otherwise(0))
