@@ -120,8 +120,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MO
 def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; documents without words are not taken."""
     rows = cut(sized(docs))
-    taken = _copies(docs.withColumn("h", hash52()).withColumn("_size", word_count()), thresholds(rows, weights, budget, most))
-    return taken.where("_size > 0 AND copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    # the row travels as one struct, so its columns cannot clash with those of the join
+    whole = docs.select(F.struct("*").alias("row"), "source", hash52().alias("h"), word_count().alias("size"))
+    taken = _copies(whole, thresholds(rows, weights, budget, most)).where("size > 0 AND copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 #: The same mix by one sort of all documents; only small tables afford it.

@@ -131,12 +131,12 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     moved = placed.where("shard <> old_shard")
     touched = sorted({x for r in moved.groupBy("old_shard", "shard").count().collect() for x in (r["old_shard"], r["shard"])})
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_crc", F.crc32(text)).withColumn("_size", (F.octet_length(text) + 1).cast("long"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.crc32(text).alias("crc"), (F.octet_length(text) + 1).cast("long").alias("bytes"))
     # equal rows are interchangeable: the k-th of them takes the k-th place
-    w1 = Window.partitionBy("doc_id", "_size", "_crc").orderBy("doc_id")
+    w1 = Window.partitionBy("doc_id", "bytes", "crc").orderBy("doc_id")
     w2 = Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")
-    a, b = keyed.withColumn("_k", F.row_number().over(w1)), placed.withColumn("_k", F.row_number().over(w2)).withColumnRenamed("doc_id", "_id")
-    on = a["doc_id"].eqNullSafe(b["_id"]) & (a["_size"] == b["size"]) & (a["_crc"] == b["text_crc32"]) & (a["_k"] == b["_k"])
-    out = a.join(b.where(F.col("shard").isin(touched)), on).select(*docs.columns, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").mode("append").parquet(path)
+    a, b = keyed.withColumn("k", F.row_number().over(w1)), placed.select("doc_id", "size", "text_crc32", "shard", "slot", F.row_number().over(w2).alias("k"))
+    on = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["bytes"] == b["size"]) & (a["crc"] == b["text_crc32"]) & (a["k"] == b["k"])
+    out = a.join(b.where(F.col("shard").isin(touched)), on).select("row", F.col("shard").alias("_shard"), "slot")
+    out.repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot").select("row.*", "_shard").write.partitionBy("_shard").mode("append").parquet(path)
     return touched
