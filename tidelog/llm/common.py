@@ -7,7 +7,7 @@ texts everywhere in this subpackage.
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +57,12 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the JVM notice that finished jobs' shuffle files are no longer needed, so they leave the disks now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the wanted other columns and the text; whatever else ``docs`` has is left out."""
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("text"))
 
 
 # ---------------------------------------------------------------- buffers

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, drop_cut, slices, span_hash, prefix_hash, texts, words
+from .common import buffer_of, cut, drop_cut, free_shuffles, slices, texts, words
 
 ORDER, SHARED = 6, 3
 SLOTS = 1 << 21
@@ -182,7 +182,9 @@ def score(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, fit_rows: int
     spark = docs.sparkSession
     mine = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(fold("_id") != 0)
     rows = texts(docs).where(fold() != 0)
-    known = cut(rows.join(mine, rows["doc_id"] == mine["_id"]).select("doc_id", "toxic", "text", fold().alias("fold")))
+    # labels grow with the corpus, so they are never broadcast, however few there are
+    known = cut(rows.join(mine.hint("merge"), rows["doc_id"] == mine["_id"]).select("doc_id", "toxic", "text", fold().alias("fold")))
+    free_shuffles(spark)
     seen, unseen = ratios(known.where("fold < 4").select("text", "toxic"))
     strong = F.abs("ratio") >= LEAST
     held = spark.sparkContext.broadcast(Model(fold_table(seen.where(strong), slots), fold_table(unseen.where(strong), slots)))
