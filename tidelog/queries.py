@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import model as M
 from .functions import codec as C
-from .operators import conflicts, ranges, retention, scan, snapshot
+from .operators import conflicts, history, ranges, retention, scan, snapshot
 from .plans import compaction
 from .sources import datasets as D
 from .sources.manifest import replay
@@ -21,7 +21,7 @@ BLOCK_ROWS, FILE_ROWS, SPLITS = 100, 1000, 4
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_TEXT = {"user_key", "value", "smallest", "biggest", "probe", "found", "first_key", "last_key", "core"}
+_TEXT = {"user_key", "value", "smallest", "biggest", "probe", "found", "first_key", "last_key", "core", "old_value"}
 
 
 def told(df: DataFrame) -> DataFrame:
@@ -489,3 +489,20 @@ def snapshot_diff(spark, sf):
     kv = D.kv_events(spark, sf).select("user_key", "version")
     a, b = (kv.where(C.visible(ts)).groupBy("user_key").agg(F.max("version").alias(n)) for ts, n in ((DISCARD, "before_version"), (AS_OF, "after_version")))
     return told(a.join(b, "user_key", "full").where(~F.col("before_version").eqNullSafe(F.col("after_version"))))
+
+
+@query("SELECT user_key, version, value, lag(value) OVER w AS old_value, lag(version) OVER w AS old_version FROM kv WINDOW w AS (PARTITION BY user_key ORDER BY version)")
+def value_history(spark, sf):
+    return told(history.history(D.kv_events(spark, sf)).select("user_key", "version", "value", "old_value", "old_version"))
+
+
+@query(f"f AS (SELECT o_orderkey, printf('u%06d', o_custkey % 150) AS k, o_orderkey * 2 AS t FROM orders), j AS (SELECT o_orderkey, value, version, meta, expires_at FROM f ASOF LEFT JOIN kv ON f.k = kv.user_key AND f.t >= kv.version) SELECT o_orderkey, CASE WHEN NOT {DEAD} THEN value END AS value, CASE WHEN NOT {DEAD} THEN version END AS version FROM j")
+def asof_join(spark, sf):
+    """Orders with the newest event of a user at the time of the order."""
+    f = D.table(spark, sf, "orders").select("o_orderkey", F.encode(F.format_string("u%06d", F.col("o_custkey") % 150), "UTF-8").alias("k"), (F.col("o_orderkey") * 2).alias("t"))
+    return told(history.asof_join(f, D.kv_events(spark, sf), "k", "t", NOW).select("o_orderkey", "value", "version"))
+
+
+@query(f"m AS (SELECT *, version = max(version) OVER (PARTITION BY user_key) AS newest FROM kv) SELECT CASE WHEN NOT newest THEN 'old' WHEN {DEAD} THEN 'dead' ELSE 'live' END AS state, count(*) AS n_rows, sum(strlen(value))::BIGINT AS bytes, sum(CASE WHEN (meta & 1) <> 0 THEN 1 ELSE 0 END)::BIGINT AS deletes FROM m GROUP BY 1")
+def garbage_stats(spark, sf):
+    return history.garbage(D.kv_events(spark, sf), NOW)
