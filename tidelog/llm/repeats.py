@@ -19,7 +19,6 @@ Equal texts are one node beforehand.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, mix, partitions, prefix_hash, sliding_min, span_hash, texts, words
+from .common import cut, drop_cut, free_shuffles, mix, partitions, prefix_hash, sliding_min, span_hash, texts, words
 
 #: Different segments that one group may hold, and bytes of segments in one shard.
 CAP, SHARD_BYTES = 500, 1 << 20
@@ -125,7 +124,7 @@ def _find(plan: Plan, whole: Callable):
 
 
 _RUNS = "array<struct<h:long,s:int,o:int,n:int>>"
-_SEGMENT = "key long, sh long, o int, n int, data binary, own long, nid long, s int"
+_SEGMENT = "key long, sh long, o int, n int, data binary, own long, nid long, s int, weight int"
 
 
 def _cut_out(plan: Plan):
@@ -148,35 +147,41 @@ def _cut_out(plan: Plan):
             sh = span_hash(sym.pre, lo, hi)
             data = pa.array([sym.buf[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sh.view(np.int64)), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), data, rows.column("own").take(take), rows.column("nid").take(take), pa.array(s.astype(np.int32))], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sh.view(np.int64)), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), data, rows.column("own").take(take), rows.column("nid").take(take), pa.array(s.astype(np.int32)), pa.array(np.ones(len(s), np.int32))], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
     return run
 
 
 def _split(plan: Plan, width: int):
-    """Segments to segments of offset ranges of ``width``, keyed by what a range's windows share."""
+    """Different segments to segments of offset ranges of ``width``, keyed by what a range's windows
+    share. A segment that occurs more than once weighs two, its place is that of its first occurrence."""
 
     def run(batches):
         for rows in batches:
             out = {x.split()[0]: [] for x in _SEGMENT.split(", ")}
-            cols = [rows.column(k).to_pylist() for k in ("o", "n", "data", "own", "nid", "s")]
-            for o, n, data, own, nid, s in zip(*cols):
+            cols = [rows.column(k).to_pylist() for k in ("o", "n", "data", "f", "n_occ")]
+            for o, n, data, f, n_occ in zip(*cols):
                 sym = Symbols(np.frombuffer(data, np.uint8), np.array([0, len(data)]), plan)
                 # window k has its anchor at offset o - k; ranges are counted on that offset
                 k = np.arange(n)
                 part = (o - k) // width
                 edge = np.flatnonzero(np.diff(part)) + 1
-                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), n]):
-                    r = int(part[a])
-                    core_a = o - r * width
-                    core_b = o - (r * width + width - 1) + plan.length
-                    x, y = (int(v) for v in sym.edges(np.array(core_a), np.array(core_b)))
-                    lo, hi = (int(v) for v in sym.edges(np.array(a), np.array(b - 1 + plan.length)))
-                    spans = span_hash(sym.pre, np.array([x, lo]), np.array([y, hi]))
-                    key = mix(spans[:1] ^ np.uint64((r * 0x9E3779B97F4A7C15 + width) & (1 << 64) - 1))
-                    for name, v in zip(out, (int(key.view(np.int64)[0]), int(spans[1:].view(np.int64)[0]), o - a, b - a, sym.buf[lo:hi].tobytes(), own, nid, s + a)):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("o", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("own", pa.int64()), ("nid", pa.int64()), ("s", pa.int32())]))
+                a, b = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
+                r = part[a]
+                core = sym.edges(o - r * width, o - (r * width + width - 1) + plan.length)
+                whole = sym.edges(a, b - 1 + plan.length)
+                key = mix(span_hash(sym.pre, *core) ^ mix((r * 1_000_003 + width).astype(np.uint64)))
+                sh = span_hash(sym.pre, *whole)
+                out["key"] += key.view(np.int64).tolist()
+                out["sh"] += sh.view(np.int64).tolist()
+                out["o"] += (o - a).tolist()
+                out["n"] += (b - a).tolist()
+                out["data"] += [sym.buf[x:y].tobytes() for x, y in zip(*(v.tolist() for v in whole))]
+                out["own"] += [f["own"]] * len(a)
+                out["nid"] += [f["nid"]] * len(a)
+                out["s"] += (f["s"] + a).tolist()
+                out["weight"] += [2 if n_occ > 1 else 1] * len(a)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("o", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("own", pa.int64()), ("nid", pa.int64()), ("s", pa.int32()), ("weight", pa.int32())]))
 
     return run
 
@@ -193,8 +198,7 @@ def _tidy(*frames: DataFrame) -> None:
     """Delete finished tables and let the JVM drop the shuffle files of finished jobs."""
     for x in frames:
         drop_cut(x)
-    gc.collect()
-    frames[0].sparkSession._jvm.System.gc()
+    free_shuffles(frames[0].sparkSession)
 
 
 def spans(docs: DataFrame, plan: Plan, whole: Callable):
@@ -212,7 +216,8 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     _tidy(every)
 
     run = nodes.select("nid", F.inline("runs"))
-    twice = run.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # a table of its own, so that the join's two sides are plain exchanges, which Spark splits where a hash is hot
+    twice = cut(run.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     again = cut(run.join(twice, "h").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
     names = nodes.select("nid", "d", "owner", "n_owner")
     wanted = again.join(names, "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), F.coalesce("owner", F.lit(LAST)).alias("own"), "runs")
@@ -220,36 +225,38 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     if nodes.where("n_owner > 1").limit(1).count():
         met = met.dropDuplicates(["nid"])
     segments = cut(met.mapInArrow(_cut_out(plan), _SEGMENT))
-    _tidy(again)
+    _tidy(again, twice)
 
     parts_found = []
     for width in [*widths(plan), 0]:
         first = F.min(F.struct("own", "nid", "s")).alias("f")
-        kinds = cut(segments.groupBy("key", "sh").agg(first, F.count(F.lit(1)).alias("n_occ"), F.first("data").alias("data"), F.first("n").alias("n")))
-        group = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_occ").alias("all_occ")).where("all_occ > 1")
-        large = cut(group.where(F.col("kinds") > plan.cap).select("key")) if width else None
-        more = bool(width) and large.limit(1).count() > 0
-        small = kinds.join(group.where(F.col("kinds") <= plan.cap) if width else group, "key").drop("kinds", "all_occ")
+        kinds = cut(segments.groupBy("key", "sh").agg(first, F.sum("weight").alias("n_occ"), F.first("data").alias("data"), F.first("n").alias("n"), F.first("o").alias("o")))
+        group = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_occ").alias("all_occ")).where("all_occ > 1"))
+        large = group.where(F.col("kinds") > plan.cap).select("key") if width else group.where("false").select("key")
+        more = large.limit(1).count() > 0
+        small = kinds.join(group.where(F.col("kinds") <= plan.cap).select("key") if width else group.select("key"), "key")
         total = kinds.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
         shards = max(parts, total // SHARD_BYTES)
-        told = cut(small.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_match(plan), "key long, sh long, f_nid long, f_s int, n int, runs array<struct<a:int,b:int>>"))
+        told = small.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_match(plan), "key long, sh long, f_nid long, f_s int, n int, runs array<struct<a:int,b:int>>")
+        all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+        if more:
+            # what occurs more than once is settled for its other occurrences; the first one's windows go on in ranges
+            hot = cut(kinds.join(large, "key"))
+            none = F.array().cast("array<struct<a:int,b:int>>")
+            told = told.unionByName(hot.where("n_occ > 1").select("key", "sh", F.col("f.nid").alias("f_nid"), F.col("f.s").alias("f_s"), "n", (none if plan.first_stays else all_of_it).alias("runs")))
+        told = cut(told)
         seen = segments.select("key", "sh", "nid", "s").join(told, ["key", "sh"])
         mine = (F.col("nid") == F.col("f_nid")) & (F.col("s") == F.col("f_s"))
-        all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
         which = F.when(mine, F.col("runs")).otherwise(all_of_it) if plan.first_stays else F.col("runs")
         hit = seen.select("nid", "s", F.inline(which))
         parts_found.append(cut(hit.select("nid", (F.col("s") + F.col("a")).alias("start"), (F.col("s") + F.col("b") - 1 + plan.length).alias("stop"))))
-        gone = [kinds, told]
+        gone = [segments, kinds, group, told]
         if more:
-            finer = cut(segments.join(large, "key", "left_semi").mapInArrow(_split(plan, width), _SEGMENT))
-            gone.append(segments)
-            segments = finer
-        if large is not None:
-            gone.append(large)
+            segments = cut(hot.select("o", "n", "data", "f", "n_occ").mapInArrow(_split(plan, width), _SEGMENT))
+            gone.append(hot)
         _tidy(*gone)
         if not more:
             break
-    _tidy(segments)
     flat = parts_found[0]
     for x in parts_found[1:]:
         flat = flat.unionByName(x)
