@@ -140,7 +140,7 @@ def _bands(rows: int):
     def key(i):
         return F.xxhash64(F.lit(i), *(F.get("sig", F.lit(i * rows + k)) for k in range(rows)))
 
-    return F.explode(F.array(*(key(i) for i in range(REGISTERS // rows)))).alias("bucket")
+    return F.posexplode(F.array(*(key(i) for i in range(REGISTERS // rows)))).alias("band", "bucket")
 
 
 def _item_sets(docs: DataFrame, all_nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,9 +153,10 @@ def _item_sets(docs: DataFrame, all_nodes: DataFrame, wanted: DataFrame) -> Data
     return cut(sets.dropDuplicates(["nid"]) if repeated else sets)
 
 
-def _compare(rows: pd.DataFrame, least: float, by_sig: bool):
-    """Within each group: rows with a partner of another label that looks alike (by_sig), or verified links that join labels."""
-    for (bucket, i, j), g in rows.groupby(["bucket", "i", "j"], sort=False):
+def _compare(rows: pd.DataFrame, least: float, by_sig: bool, band_rows: int = ROWS):
+    """Within each group: rows with a partner of another label that looks alike (by_sig), or
+    verified links that join labels. A pair that shares several bands counts in the first of them."""
+    for (band, bucket, i, j), g in rows.groupby(["band", "bucket", "i", "j"], sort=False):
         label, nid, block = g["label"].to_numpy(), g["nid"].to_numpy(), g["block"].to_numpy()
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
@@ -163,12 +164,14 @@ def _compare(rows: pd.DataFrame, least: float, by_sig: bool):
             sig = np.stack(g["data"].to_numpy())
             hit = np.zeros(len(g), bool)
             for x in left.tolist():
-                ok = ((sig[right] == sig[x]).sum(axis=1) >= least * sig.shape[1]) & (label[right] != label[x])
+                same = sig[right] == sig[x]
+                ok = (same.sum(axis=1) >= least * sig.shape[1]) & (label[right] != label[x])
+                ok &= ~same[:, : band * band_rows].reshape(len(right), -1, band_rows).all(axis=2).any(axis=1)
                 if ok.any():
                     hit[x] = True
                     hit[right[ok]] = True
             for x in np.flatnonzero(hit).tolist():
-                yield bucket, i, j, nid[x], block[x], label[x]
+                yield band, bucket, i, j, nid[x], block[x], label[x]
             continue
         sets = [np.frombuffer(x, np.uint64) for x in g["data"]]
         head = {x: x for x in label.tolist()}
@@ -194,8 +197,9 @@ def links(docs: DataFrame, all_nodes: DataFrame, rows: int = ROWS, least: float
     spark = docs.sparkSession
     parts = partitions(spark)
     band = all_nodes.where(F.array_max("sig") != F.array_min("sig")).select("nid", _bands(rows))
-    heads = band.groupBy("bucket").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(band.join(heads, "bucket"))
+    bucket = ["band", "bucket"]
+    heads = cut(band.groupBy(*bucket).agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = cut(band.join(heads, bucket))
     pairs = cut(members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     sets = _item_sets(docs, all_nodes, wanted)
@@ -206,26 +210,31 @@ def links(docs: DataFrame, all_nodes: DataFrame, rows: int = ROWS, least: float
 
     star = cut(joined(pairs).mapInArrow(_verify(least), "a long, b long"))
     labels = components(star)
-    known = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", "n", F.coalesce("label", "nid").alias("label"))
-    open_ = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = known.join(open_, "bucket")
+    known = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select(*bucket, "nid", "n", F.coalesce("label", "nid").alias("label"))
+    open_ = cut(known.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*bucket))
+    rest = known.join(open_, bucket)
     n_blocks = F.ceil(F.col("n") / block)
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("nid"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
-    dealt = cut(dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "block", "label"))
-    tasks = max(parts, dealt.count() // 20_000)
-    task = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)).alias("task")
-    kinds = "bucket long, i int, j int, nid long, block int, label long"
+    dealt = cut(dealt.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "block", "label"))
+    kinds = "band int, bucket long, i int, j int, nid long, block int, label long"
+
+    def task(n_rows: int, row_bytes: int):
+        """Groups dealt to tasks of about 8 MB."""
+        return F.pmod(F.xxhash64(*bucket, "i", "j"), F.lit(max(4 * parts, n_rows * row_bytes >> 23))).alias("task")
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_compare(g, ESTIMATE * least / SIMILARITY, True)), columns=["bucket", "i", "j", "nid", "block", "label"])
+        return pd.DataFrame(list(_compare(g, ESTIMATE * least / SIMILARITY, True, rows)), columns=[*bucket, "i", "j", "nid", "block", "label"])
 
     def prove(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_compare(g, least, False)), columns=["a", "b"])
 
-    alike = cut(dealt.join(all_nodes.select("nid", F.col("sig").alias("data")), "nid").select("*", task).groupBy("task").applyInPandas(look, kinds))
-    proven = alike.join(sets.select("nid", F.col("items").alias("data")), "nid").select("*", task).groupBy("task").applyInPandas(prove, "a long, b long")
+    signed = dealt.join(all_nodes.select("nid", F.col("sig").alias("data")), "nid")
+    alike = cut(signed.select("*", task(dealt.count(), 4 * REGISTERS)).groupBy("task").applyInPandas(look, kinds))
+    size = sets.agg(F.coalesce(F.avg(F.length("items")), F.lit(0))).first()[0]
+    listed = alike.join(sets.select("nid", F.col("items").alias("data")), "nid")
+    proven = listed.select("*", task(alike.count(), int(size))).groupBy("task").applyInPandas(prove, "a long, b long")
     out = cut(star.unionByName(proven))
-    for x in (members, pairs, sets, star, dealt, alike):
+    for x in (heads, members, pairs, sets, star, open_, dealt, alike):
         drop_cut(x)
     return out
 
@@ -248,10 +257,10 @@ def near_duplicates(docs: DataFrame, rows: int = ROWS, least: float = SIMILARITY
 def keep_one(docs: DataFrame, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """Of each class the row with the smallest doc_id, all columns unchanged."""
     found = classes(docs, rows, least)
-    stay = found.where("d = class_d").select(F.col("d").alias("_d"), F.col("owner").alias("_id"), "n_owner")
-    keyed = docs.withColumn("_d", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    left = stay.alias("s")
-    out = keyed.alias("k").join(left, (F.col("k._d") == F.col("s._d")) & F.col("k.doc_id").eqNullSafe(F.col("s._id")), "left_semi")
+    stay = found.where("d = class_d").select("d", F.col("owner").alias("doc_id"), "n_owner")
+    # the row travels as one struct, so its columns cannot clash with those of the join
+    whole = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("d"), F.col("doc_id").cast("long").alias("doc_id"))
+    out = whole.join(stay, (whole["d"] == stay["d"]) & whole["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
     if found.where("n_owner > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_d"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["doc_id", "d"])
+    return out.select("row.*")
