@@ -17,7 +17,7 @@ def ingest(stream: DataFrame, store: KVStore, checkpoint: str, available_now: bo
     def append(batch: DataFrame, _: int) -> None:
         batch = first_wins(batch.select(*KV_SCHEMA.fieldNames()), "meta", F.desc("value"))
         if batch.limit(1).count():
-            store.append(batch)
+            store.append(batch, known_unique=True)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
