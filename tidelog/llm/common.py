@@ -147,6 +147,12 @@ def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def even_hash(pre: np.ndarray, k: int) -> np.ndarray:
+    """:func:`span_hash` of every k consecutive bytes."""
+    n = len(pre) - k
+    return mix((pre[k:] - pre[:n]) * _powers(len(pre), "i")[:n] + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
+
 # ---------------------------------------------------------------- words
 
 _WS = np.zeros(256, bool)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, free_shuffles, mix, partitions, prefix_hash, sliding_min, span_hash, texts, words
+from .common import cut, drop_cut, even_hash, free_shuffles, mix, partitions, prefix_hash, sliding_min, span_hash, texts, words
 
 #: Different segments that one group may hold, and bytes of segments in one shard.
 CAP, SHARD_BYTES = 500, 1 << 20
@@ -86,24 +86,23 @@ class Symbols:
 
     def runs(self):
         """(text, hash, first window, anchor, windows) of every run, positions counted from the text's first symbol."""
-        k, span = self.plan.gram, self.plan.span
-        total = int(self.first[-1])
-        if total < self.plan.length:
+        k, first = self.plan.gram, self.first
+        n = int(first[-1]) - k + 1
+        if n + k - 1 < self.plan.length:
             return (np.zeros(0, np.int64),) * 5
-        at = np.arange(total - k + 1)
-        g = span_hash(self.pre, *self.edges(at, at + k))
-        low = sliding_min((mix(g) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), span)
-        start = np.arange(len(low))
-        doc = np.searchsorted(self.first, start, "right") - 1
-        ok = start + self.plan.length <= self.first[doc + 1]
-        start, doc = start[ok], doc[ok]
-        anchor = (low[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        g = span_hash(self.pre, self.starts[:n], self.ends[k - 1 :]) if self.plan.by_words else even_hash(self.pre, k)
+        # order by the hash's upper half, then by place
+        low = sliding_min((g & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), self.plan.span)
+        end = np.repeat(first[1:], np.diff(first))[: len(low)]
+        start = np.flatnonzero(np.arange(self.plan.length, len(low) + self.plan.length) <= end)
+        anchor = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(start), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, len(start)))
-        doc, anchor, start = doc[begin], anchor[begin], start[begin]
-        return doc, g[anchor], start - self.first[doc], anchor - self.first[doc], count
+        anchor, start = anchor[begin], start[begin]
+        doc = np.searchsorted(first, start, "right") - 1
+        return doc, g[anchor], start - first[doc], anchor - first[doc], count
 
 
 def _find(plan: Plan, whole: Callable):
@@ -211,26 +210,30 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     every = cut(base.mapInArrow(_find(plan, whole), f"doc_id long, d binary, n_units long, whole string, runs {_RUNS}"))
     ids = every.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("runs").alias("runs"))
     one = ids.groupBy("d").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"), F.sum("n").alias("n_copies"), F.first("runs").alias("runs"))
-    nodes = cut(one.select(F.monotonically_increasing_id().alias("nid"), "d", F.col("x.doc_id").alias("owner"), F.col("x.n").alias("n_owner"), "n_copies", "runs"))
+    full = cut(one.select(F.monotonically_increasing_id().alias("nid"), "d", F.col("x.doc_id").alias("owner"), F.col("x.n").alias("n_owner"), "n_copies", "runs"))
     rows = cut(every.drop("runs"))
     _tidy(every)
 
-    run = nodes.select("nid", F.inline("runs"))
+    run = full.select("nid", F.inline("runs"))
     # a table of its own, so that the join's two sides are plain exchanges, which Spark splits where a hash is hot
     twice = cut(run.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    free_shuffles(spark)
     again = cut(run.join(twice, "h").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
+    nodes = cut(full.drop("runs"))
+    _tidy(full, twice)
     names = nodes.select("nid", "d", "owner", "n_owner")
     wanted = again.join(names, "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), F.coalesce("owner", F.lit(LAST)).alias("own"), "runs")
     met = base.join(wanted, (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "own", "text", "runs")
     if nodes.where("n_owner > 1").limit(1).count():
         met = met.dropDuplicates(["nid"])
     segments = cut(met.mapInArrow(_cut_out(plan), _SEGMENT))
-    _tidy(again, twice)
+    _tidy(again)
 
     parts_found = []
     for width in [*widths(plan), 0]:
         first = F.min(F.struct("own", "nid", "s")).alias("f")
         kinds = cut(segments.groupBy("key", "sh").agg(first, F.sum("weight").alias("n_occ"), F.first("data").alias("data"), F.first("n").alias("n"), F.first("o").alias("o")))
+        free_shuffles(spark)
         group = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_occ").alias("all_occ")).where("all_occ > 1"))
         large = group.where(F.col("kinds") > plan.cap).select("key") if width else group.where("false").select("key")
         more = large.limit(1).count() > 0
@@ -261,7 +264,7 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     for x in parts_found[1:]:
         flat = flat.unionByName(x)
     found = flat.groupBy("nid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows, nodes.drop("runs"), found
+    return rows, nodes, found
 
 
 def _match(plan: Plan):

@@ -108,19 +108,32 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) -> n
 
 
 def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string with many different symbols, which buckets would not help."""
+    """Suffix array of a string with many different symbols, which buckets would not help.
+
+    Ranks are first places of groups of suffixes equal so far; each round sorts
+    only groups of more than one by the rank of what follows, twice as far on."""
     n = len(t)
-    rank, k = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1, 1
+    sa = np.argsort(t)
+    start = np.concatenate(([True], t[sa][1:] != t[sa][:-1]))
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    k = 1
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(n - k, 0)] = rank[k:]
-        key = rank * (n + 1) + nxt
-        sa = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[sa] = np.cumsum(np.concatenate(([1], key[sa][1:] != key[sa][:-1])))
-        rank, k = new, 2 * k
-        if not n or rank[sa[-1]] == n or k >= n:
+        alone = start & np.append(start[1:], True)
+        place = np.flatnonzero(~alone)
+        if not len(place):
             return sa
+        mine = sa[place]
+        group = rank[mine]
+        key = group * (n + 1) + rank[np.minimum(mine + k, n)] + 1
+        order = np.argsort(key)
+        mine, key = mine[order], key[order]
+        sa[place] = mine
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        start[place] = new
+        rank[mine] = np.maximum.accumulate(np.where(new, place, 0))
+        k *= 2
 
 
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
