@@ -318,7 +318,8 @@ def test_query(spark, sf, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        for t in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         rel = con.execute(ORACLES[name])
         cols = [c[0] for c in rel.description]
         assert sorted(cols) == sorted(df.columns)
