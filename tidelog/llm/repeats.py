@@ -207,20 +207,22 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     spark = docs.sparkSession
     parts = partitions(spark)
     base = texts(docs).withColumn("d", F.unhex(F.md5("text")))
-    every = cut(base.mapInArrow(_find(plan, whole), f"doc_id long, d binary, n_units long, whole string, runs {_RUNS}"))
-    ids = every.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("runs").alias("runs"))
-    one = ids.groupBy("d").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"), F.sum("n").alias("n_copies"), F.first("runs").alias("runs"))
-    full = cut(one.select(F.monotonically_increasing_id().alias("nid"), "d", F.col("x.doc_id").alias("owner"), F.col("x.n").alias("n_owner"), "n_copies", "runs"))
-    rows = cut(every.drop("runs"))
-    _tidy(every)
-
-    run = full.select("nid", F.inline("runs"))
+    found = base.mapInArrow(_find(plan, whole), f"doc_id long, d binary, n_units long, whole string, runs {_RUNS}")
+    every = cut(found.withColumn("nid", F.monotonically_increasing_id()))
+    ids = every.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
+    one = ids.groupBy("d").agg(F.min_by(F.struct("doc_id", "n", "nid"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"), F.sum("n").alias("n_copies"))
+    nodes = cut(one.select("x.nid", "d", F.col("x.doc_id").alias("owner"), F.col("x.n").alias("n_owner"), "n_copies"))
+    rows = cut(every.drop("runs", "nid"))
+
+    # a hash is repeated if it stands at two places of one text or in two texts; copies of a text agree in both
+    run = every.select("nid", F.xxhash64("d").alias("dh"), F.inline("runs"))
+    place = F.xxhash64("dh", "s")
     # a table of its own, so that the join's two sides are plain exchanges, which Spark splits where a hash is hot
-    twice = cut(run.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    twice = cut(run.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h"))
     free_shuffles(spark)
-    again = cut(run.join(twice, "h").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
-    nodes = cut(full.drop("runs"))
-    _tidy(full, twice)
+    owners = nodes.select("nid")
+    again = cut(run.drop("dh").join(twice, "h").join(owners, "nid", "left_semi").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
+    _tidy(every, twice)
     names = nodes.select("nid", "d", "owner", "n_owner")
     wanted = again.join(names, "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), F.coalesce("owner", F.lit(LAST)).alias("own"), "runs")
     met = base.join(wanted, (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "own", "text", "runs")
