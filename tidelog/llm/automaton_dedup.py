@@ -127,7 +127,7 @@ def dedup(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, nodes, found = spans(docs, plan, _whole)
     told = with_text(docs, nodes, found).mapInArrow(_apply, "nid long, n_removed long, kept string")
-    by_node = nodes.select("d", "nid", "owner").join(told, "nid", "left").drop("nid")
+    by_node = nodes.select("d", "nid", "owner").join(told.hint("merge"), "nid", "left").drop("nid")
     same = rows.groupBy("doc_id", "d").agg(F.count(F.lit(1)).alias("k"), F.first("n_units").alias("n_units"), F.first("whole").alias("whole"))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).join(by_node, "d")
     later = ~(F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("copy") == 1)) & (F.col("n_units") >= plan.length)

@@ -193,6 +193,11 @@ def widths(plan: Plan) -> list[int]:
     return out
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: always shuffled, so that no size changes the plan."""
+    return df.hint("merge")
+
+
 def _tidy(*frames: DataFrame) -> None:
     """Delete finished tables and let the JVM drop the shuffle files of finished jobs."""
     for x in frames:
@@ -221,11 +226,11 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
     twice = cut(run.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h"))
     free_shuffles(spark)
     owners = nodes.select("nid")
-    again = cut(run.drop("dh").join(twice, "h").join(owners, "nid", "left_semi").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
+    again = cut(run.drop("dh").join(_large(twice), "h").join(_large(owners), "nid", "left_semi").groupBy("nid").agg(F.collect_list(F.struct("h", "s", "o", "n")).alias("runs")))
     _tidy(every, twice)
     names = nodes.select("nid", "d", "owner", "n_owner")
-    wanted = again.join(names, "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), F.coalesce("owner", F.lit(LAST)).alias("own"), "runs")
-    met = base.join(wanted, (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "own", "text", "runs")
+    wanted = again.join(_large(names), "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), F.coalesce("owner", F.lit(LAST)).alias("own"), "runs")
+    met = base.join(_large(wanted), (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "own", "text", "runs")
     if nodes.where("n_owner > 1").limit(1).count():
         met = met.dropDuplicates(["nid"])
     segments = cut(met.mapInArrow(_cut_out(plan), _SEGMENT))
@@ -239,18 +244,19 @@ def spans(docs: DataFrame, plan: Plan, whole: Callable):
         group = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_occ").alias("all_occ")).where("all_occ > 1"))
         large = group.where(F.col("kinds") > plan.cap).select("key") if width else group.where("false").select("key")
         more = large.limit(1).count() > 0
-        small = kinds.join(group.where(F.col("kinds") <= plan.cap).select("key") if width else group.select("key"), "key")
+        small = kinds.join(_large(group.where(F.col("kinds") <= plan.cap).select("key") if width else group.select("key")), "key")
         total = kinds.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
         shards = max(parts, total // SHARD_BYTES)
         told = small.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_match(plan), "key long, sh long, f_nid long, f_s int, n int, runs array<struct<a:int,b:int>>")
         all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
         if more:
             # what occurs more than once is settled for its other occurrences; the first one's windows go on in ranges
-            hot = cut(kinds.join(large, "key"))
+            hot = cut(kinds.join(_large(large), "key"))
             none = F.array().cast("array<struct<a:int,b:int>>")
             told = told.unionByName(hot.where("n_occ > 1").select("key", "sh", F.col("f.nid").alias("f_nid"), F.col("f.s").alias("f_s"), "n", (none if plan.first_stays else all_of_it).alias("runs")))
         told = cut(told)
-        seen = segments.select("key", "sh", "nid", "s").join(told, ["key", "sh"])
+        free_shuffles(spark)
+        seen = segments.select("key", "sh", "nid", "s").join(_large(told), ["key", "sh"])
         mine = (F.col("nid") == F.col("f_nid")) & (F.col("s") == F.col("f_s"))
         which = F.when(mine, F.col("runs")).otherwise(all_of_it) if plan.first_stays else F.col("runs")
         hit = seen.select("nid", "s", F.inline(which))
@@ -291,8 +297,8 @@ def _match(plan: Plan):
 def with_text(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(nid, text, spans) of the nodes that have spans."""
     base = texts(docs).withColumn("d", F.unhex(F.md5("text")))
-    wanted = found.join(nodes, "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), "spans")
-    out = base.join(wanted, (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "text", "spans")
+    wanted = found.join(_large(nodes), "nid").select("nid", F.col("d").alias("_d"), F.col("owner").alias("_id"), "spans")
+    out = base.join(_large(wanted), (base["d"] == wanted["_d"]) & base["doc_id"].eqNullSafe(wanted["_id"])).select("nid", "text", "spans")
     return out.dropDuplicates(["nid"]) if nodes.where("n_owner > 1").limit(1).count() else out
 
 

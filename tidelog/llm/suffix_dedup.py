@@ -262,7 +262,7 @@ def dedup(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     rows, nodes, found = spans(docs, plan, _whole)
     alone = nodes.where("n_copies = 1")
     told = with_text(docs, alone, found).mapInArrow(_apply, "nid long, n_removed long, n_spans long, kept string")
-    by_node = nodes.select("d", "nid", "n_copies").join(told, "nid", "left").drop("nid")
+    by_node = nodes.select("d", "nid", "n_copies").join(told.hint("merge"), "nid", "left").drop("nid")
     out = rows.join(by_node, "d")
     copied = (F.col("n_copies") > 1) & (F.col("n_units") >= plan.length)
     empty = hashlib.sha256(b"").hexdigest()
