@@ -284,6 +284,65 @@ def test_grams_of_words():
     assert told == [b" a", b" ab", b" ab ", b" c", b" cd", b" cde", b" cde "]
 
 
+def brute_ratios(rows):
+    """(log-ratio of every gram, of every context) of (text, toxic) rows, by plain dictionaries."""
+    n = [Counter(), Counter()]
+    for t, c in rows:
+        for w in WORD.findall(t.lower()):
+            b = f" {w} ".encode()
+            for k in range(1, len(b)):
+                n[c][b[max(0, k - 5) : k + 1]] += 1
+    grams = set(n[0]) | set(n[1])
+    d = [(lambda one, two: one / max(1, one + 2 * two) or 0.5)(*(sum(v == k for v in n[c].values()) for k in (1, 2))) for c in (0, 1)]
+    c3, c2, k2, c1 = Counter(g[-3:].rjust(3, b"\0") for g in grams), Counter(), Counter(), Counter()
+    for g, v in c3.items():
+        c2[g[:2]] += v
+        k2[g[:2]] += 1
+        c1[g[2:]] += 1
+    total, kinds = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for g, v in n[c].items():
+            total[c][g[:-1]] += v
+            kinds[c][g[:-1]] += 1
+
+    def rest(c, ctx):
+        return d[c] * kinds[c][ctx] / total[c][ctx] if total[c][ctx] else 1.0
+
+    def prob(c, g):
+        x, ctx = g[-3:].rjust(3, b"\0"), g[:-1]
+        low = (c3[x] - 0.75 + 0.75 * k2[x[:2]] * c1[x[2:]] / sum(c1.values())) / c2[x[:2]]
+        return (max(n[c][g] - d[c], 0) / total[c][ctx] if total[c][ctx] else 0.0) + rest(c, ctx) * low
+
+    number = lambda b: int.from_bytes(b, "big")
+    return {number(g): np.log(prob(1, g) / prob(0, g)) for g in grams}, {number(x): np.log(rest(1, x) / rest(0, x)) for x in {g[:-1] for g in grams}}
+
+
+def brute_model(rows, least=0.0):
+    tables = [{k: v for k, v in t.items() if abs(v) >= least} for t in brute_ratios(rows)]
+    return toxicity.Model(*((np.array(sorted(t), np.int64), np.array([t[k] for k in sorted(t)])) for t in tables))
+
+
+def test_toxicity_model_is_whole(spark):
+    """Every gram and context of the counts is in the table; no two of them share a place there."""
+    texts, labels = labelled(3, 200)
+    rows = [(t, x[2]) for (_, t), x in zip(texts, labels)]
+    got = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    grams, contexts = brute_ratios(rows)
+    want = grams | {k + toxicity.CONTEXT: v for k, v in contexts.items()}
+    want = {k: v for k, v in want.items() if abs(v) >= 0.02}
+    assert {k: v for k, v in got.items() if abs(v) >= 0.02} == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_chunks(spark):
+    """Chunks of any size give the scores that the whole table gives."""
+    texts, labels = labelled(4, 200)
+    docs = spark.createDataFrame([*texts, (None, None), (7, "")], "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = table_of(toxicity.score(docs, lab))
+    parts = table_of(toxicity.score(docs, lab, chunk_bytes=5000))
+    assert [r[:2] for r in parts] == [r[:2] for r in whole] and [r[2] for r in parts] == pytest.approx([r[2] for r in whole], abs=1e-9)
+
+
 # ------------------------------------------------------------ pipeline and queries
 
 

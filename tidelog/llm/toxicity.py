@@ -7,18 +7,22 @@ both classes, and below it of single bytes. So an expression that a class has
 hardly seen costs it little more than the shared share, and the difference of
 the two log-likelihoods comes from what one class has seen and the other not.
 
-Grams are counted in the cluster over every training text. The table of
-log-ratios that scoring looks up is broadcast; it has at most ``SLOTS`` grams
-and as many contexts (12 bytes each): each hash slot keeps its most frequent
-one, and log-ratios under 0.02 are left out, so that bound holds at any size.
+Grams are counted in the cluster over every training text, and the table of
+their log-ratios stays distributed. Texts are dealt into chunks of about
+``CHUNK_BYTES``; each chunk's distinct grams and contexts meet the table in a
+shuffle, and a chunk is scored with the rows that came back. So no gram is left
+out for its number, and no task holds more of the model than its chunk asks for.
+Log-ratios under 0.02 are left out.
 
 A text's features are the length-normalised log-likelihood difference, the
 largest one of a word, and the largest length-normalised one of a word. A
 logistic curve over them is fitted on training rows that the counts have not
-seen, at most ``FIT_ROWS`` of them, chosen by hash.
+seen, at most ``FIT_ROWS`` of them, chosen by hash; then the counts are taken
+again over all training rows.
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are learned from: 1 to 3 for the
-counts, 4 for the curve. Scores use the text alone. Null text: empty. Empty
+counts that the curve is fitted to, 4 for the curve, all four for the counts
+that score. Scores use the text alone. Null text: empty. Empty
 texts get the curve's value at zero evidence. No labels of one class: every
 score is the other class's share. Null doc_id: scored, not held out, never
 learned from. Repeated rows are scored alike; a row with several labels counts
@@ -36,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import buffer_of, cut, drop_cut, free_shuffles, slices, texts, words
 
 ORDER, SHARED = 6, 3
-SLOTS = 1 << 21
+CHUNK_BYTES = 16 << 20
 FIT_ROWS = 20_000
 LEAST = 0.02
+#: Set in the keys of contexts, which share one table with the grams (48 bits).
+CONTEXT = 1 << 60
 
 
 def fold(doc_id: str = "doc_id"):
@@ -81,8 +87,8 @@ def _count(batches):
             yield pa.RecordBatch.from_pydict({"g": g.astype(np.int64), "toxic": np.full(len(g), c, np.int32), "n": total})
 
 
-def ratios(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, n) and (context, ratio, n) of log-ratios, from training rows (text, toxic)."""
+def ratios(train: DataFrame) -> DataFrame:
+    """(key, ratio) of every gram and context, from training rows (text, toxic); a table of :func:`cut`."""
     one, two = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     counted = cut(train.mapInArrow(_count, "g long, toxic int, n long").groupBy("g").agg(one.alias("t"), two.alias("o")))
     few = counted.agg(*(F.sum(F.when(F.col(c) == k, 1).otherwise(0)).alias(f"{c}{k}") for c in "to" for k in (1, 2))).first()
@@ -105,25 +111,53 @@ def ratios(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     def prob(c):
         return F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0) + rest(c) * F.col("shared")
 
-    seen = whole.select(F.col("g").alias("key"), (F.log(prob("t")) - F.log(prob("o"))).alias("ratio"), (F.col("t") + F.col("o")).alias("n"))
-    unseen = ctx.select(F.col("ctx").alias("key"), (F.log(rest("t")) - F.log(rest("o"))).alias("ratio"), (F.col("t_n") + F.col("o_n")).alias("n"))
-    return seen, unseen
+    seen = whole.select(F.col("g").alias("key"), (F.log(prob("t")) - F.log(prob("o"))).cast("float").alias("ratio"))
+    unseen = ctx.select((F.col("ctx") + F.lit(CONTEXT)).alias("key"), (F.log(rest("t")) - F.log(rest("o"))).cast("float").alias("ratio"))
+    out = cut(seen.unionByName(unseen).where(F.abs("ratio") >= LEAST))
+    drop_cut(counted)
+    return out
 
 
-def fold_table(rows: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and ratios, one for a hash slot at most."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot")
-    best = F.max(F.struct("n", "key", "ratio")).alias("b")
-    kept = rows.groupBy(slot).agg(best).select(F.col("b.key").alias("key"), F.col("b.ratio").cast("float").alias("ratio")).toArrow()
-    key = kept.column("key").to_numpy()
-    order = np.argsort(key)
-    return key[order], kept.column("ratio").to_numpy()[order]
+def _ask(rows: pa.Table) -> pa.Table:
+    """The distinct grams and contexts of a chunk."""
+    asked = []
+    for part, _, _ in slices(rows.to_batches()):
+        buf, _, w = lowered(part.column("text"))
+        _, at = np.unique(w.hash, return_index=True)
+        asked.append(np.unique(events(buf, w.starts[at], w.ends[at])[1]).astype(np.int64))
+    g = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
+    key = np.concatenate((g, np.unique(g >> 8) + CONTEXT))
+    return pa.table({"chunk": pa.array(np.full(len(key), rows.column("chunk")[0].as_py()), pa.int64()), "key": pa.array(key, pa.int64())})
+
+
+def look_up(rows: DataFrame, model: DataFrame, run, schema: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``run(batch, x)`` of every slice of ``rows``, x being the features of its texts under the table of :func:`ratios`."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-total // chunk_bytes))
+    # one exchange of the texts serves both the question and the scoring
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition("chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_ask, "chunk long, key long")
+    answers = asked.join(model.hint("merge"), "key").select(F.col("chunk").alias("of"), "key", "ratio")
+
+    def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
+        model = Model.of(known.column("key").to_numpy(), known.column("ratio").to_numpy())
+        return pa.Table.from_batches([run(r, model.features(r.column("text"))) for r, _, _ in slices(texts.to_batches())])
+
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(judge, schema)
 
 
 class Model:
     def __init__(self, grams, contexts):
         self.grams, self.contexts = grams, contexts
 
+    @classmethod
+    def of(cls, keys, values):
+        """From keys and ratios in any order."""
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        k = np.searchsorted(keys, CONTEXT)
+        return cls((keys[:k], values[:k]), (keys[k:] - CONTEXT, values[k:]))
+
     @staticmethod
     def look(table, keys):
         """(found, value) in a sorted table."""
@@ -177,7 +211,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray,
     return w, mean, scale
 
 
-def score(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     spark = docs.sparkSession
     mine = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(fold("_id") != 0)
@@ -185,27 +219,25 @@ def score(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, fit_rows: int
     # labels grow with the corpus, so they are never broadcast, however few there are
     known = cut(rows.join(mine.hint("merge"), rows["doc_id"] == mine["_id"]).select("doc_id", "toxic", "text", fold().alias("fold")))
     free_shuffles(spark)
-    seen, unseen = ratios(known.where("fold < 4").select("text", "toxic"))
-    strong = F.abs("ratio") >= LEAST
-    held = spark.sparkContext.broadcast(Model(fold_table(seen.where(strong), slots), fold_table(unseen.where(strong), slots)))
+    first = ratios(known.where("fold < 4").select("text", "toxic"))
 
-    def measure(batches):
-        for r, _, _ in slices(batches):
-            x = held.value.features(r.column("text"))
-            yield pa.RecordBatch.from_arrays([r.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
+    def measure(r, x):
+        return pa.RecordBatch.from_arrays([r.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
 
     spare = known.where("fold = 4")
     n = spare.count()
     part = spare.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20 if n <= fit_rows else (fit_rows << 20) // n))
-    got = np.array([tuple(r) for r in part.select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").collect()], float).reshape(-1, 4)
+    got = look_up(part.select("doc_id", "text", "toxic"), first, measure, "toxic int, a double, b double, c double", chunk_bytes).collect()
+    got = np.array([tuple(r) for r in got], float).reshape(-1, 4)
+    drop_cut(first)
+    model = ratios(known.select("text", "toxic"))
     drop_cut(known)
+    free_shuffles(spark)
     weights, mean, scale = fit(got[:, 1:], got[:, 0])
 
-    def judge(batches):
-        for r, _, _ in slices(batches):
-            z = (held.value.features(r.column("text")) - mean) / scale
-            p = 1 / (1 + np.exp(-np.clip(z @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+    def judge(r, x):
+        p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ weights[:-1] + weights[-1], -30, 30)))
+        return pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     every = texts(docs).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
-    return every.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return look_up(every, model, judge, "doc_id long, held_out boolean, score double, predicted int", chunk_bytes)
