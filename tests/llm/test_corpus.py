@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,9 +318,15 @@ def brute_ratios(rows):
     return {number(g): np.log(prob(1, g) / prob(0, g)) for g in grams}, {number(x): np.log(rest(1, x) / rest(0, x)) for x in {g[:-1] for g in grams}}
 
 
-def brute_model(rows, least=0.0):
-    tables = [{k: v for k, v in t.items() if abs(v) >= least} for t in brute_ratios(rows)]
-    return toxicity.Model(*((np.array(sorted(t), np.int64), np.array([t[k] for k in sorted(t)])) for t in tables))
+def brute_features(text, grams, contexts):
+    """The three features of a text, a word at a time."""
+    each, size = [], []
+    for w in WORD.findall(text.lower()):
+        b = f" {w} ".encode()
+        keys = [int.from_bytes(b[max(0, k - 5) : k + 1], "big") for k in range(1, len(b))]
+        each.append(sum(grams[g] if g in grams else contexts.get(g >> 8, 0.0) for g in keys))
+        size.append(len(keys))
+    return [sum(each) / max(1, sum(size)), max([0, *each]), max([0, *(x / n for x, n in zip(each, size))])]
 
 
 def test_toxicity_model_is_whole(spark):
@@ -333,6 +340,24 @@ def test_toxicity_model_is_whole(spark):
     assert {k: v for k, v in got.items() if abs(v) >= 0.02} == pytest.approx(want, abs=1e-5)
 
 
+def test_weak_grams_are_not_unseen(spark):
+    """Features equal those of the untruncated model; only grams without a count back off."""
+    texts, labels = labelled(5, 200)
+    rows = [(t, x[2]) for (_, t), x in zip(texts, labels)]
+    grams, contexts = brute_ratios(rows)
+    assert any(0 < abs(v) < 0.02 for v in grams.values())
+    asked = [t for _, t in texts[:30]] + ["Unseen groloxer zzz", "groloxian", ""]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+
+    def told(r, x):
+        return pa.RecordBatch.from_arrays([r.column("doc_id"), *(pa.array(x[:, k]) for k in range(3))], names=["doc_id", "a", "b", "c"])
+
+    model = toxicity.ratios(spark.createDataFrame(rows, "text string, toxic int"))
+    got = {r.doc_id: r[1:] for r in toxicity.look_up(df, model, told, "doc_id long, a double, b double, c double").collect()}
+    for k, t in enumerate(asked):
+        assert list(got[k]) == pytest.approx(brute_features(t, grams, contexts), abs=1e-4)
+
+
 def test_toxicity_chunks(spark):
     """Chunks of any size give the scores that the whole table gives."""
     texts, labels = labelled(4, 200)

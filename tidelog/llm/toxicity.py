@@ -11,8 +11,8 @@ Grams are counted in the cluster over every training text, and the table of
 their log-ratios stays distributed. Texts are dealt into chunks of about
 ``CHUNK_BYTES``; each chunk's distinct grams and contexts meet the table in a
 shuffle, and a chunk is scored with the rows that came back. So no gram is left
-out for its number, and no task holds more of the model than its chunk asks for.
-Log-ratios under 0.02 are left out.
+out for its number or a small ratio, and no task holds more of the model than
+its chunk asks for. A context's backoff serves only grams that no count has.
 
 A text's features are the length-normalised log-likelihood difference, the
 largest one of a word, and the largest length-normalised one of a word. A
@@ -42,7 +42,6 @@ from .common import buffer_of, cut, drop_cut, free_shuffles, slices, texts, word
 ORDER, SHARED = 6, 3
 CHUNK_BYTES = 16 << 20
 FIT_ROWS = 20_000
-LEAST = 0.02
 #: Set in the keys of contexts, which share one table with the grams (48 bits).
 CONTEXT = 1 << 60
 
@@ -113,7 +112,7 @@ def ratios(train: DataFrame) -> DataFrame:
 
     seen = whole.select(F.col("g").alias("key"), (F.log(prob("t")) - F.log(prob("o"))).cast("float").alias("ratio"))
     unseen = ctx.select((F.col("ctx") + F.lit(CONTEXT)).alias("key"), (F.log(rest("t")) - F.log(rest("o"))).cast("float").alias("ratio"))
-    out = cut(seen.unionByName(unseen).where(F.abs("ratio") >= LEAST))
+    out = cut(seen.unionByName(unseen))
     drop_cut(counted)
     return out
 
