@@ -1,6 +1,7 @@
 """Operators that judge or clean single texts, against plain Python."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -144,6 +145,31 @@ def test_decontamination(spark, change):
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.keep_clean(docs.limit(0), bench).count() == 0
 
 
+def test_every_substitution_within_the_rule_is_found():
+    """All ways to replace a fifth of the tokens, for items of 1 to 16 tokens; random ways for longer ones."""
+    rng = np.random.default_rng(0)
+    for n in [*range(1, 17), 20, 24, 31, 45, 80]:
+        item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        ways = list(itertools.combinations(range(n), n // 5)) if n <= 16 else [rng.permutation(n)[: n // 5] for _ in range(300)]
+        texts = []
+        for way in ways:
+            t = item.copy()
+            t[list(way)] = rng.integers(1, 1 << 62, len(way), dtype=np.uint64)
+            texts.append(np.concatenate((rng.integers(1, 1 << 62, 5, dtype=np.uint64), t, rng.integers(1, 1 << 62, 5, dtype=np.uint64))))
+        first = np.arange(len(texts) + 1) * (n + 10)
+        block = decontam.Block([0], [item], decontam.MASKS)
+        assert [x[0] for x in block.hits(np.concatenate(texts), first, 0.8, 0.8)] == list(range(len(ways))), n
+
+
+def test_long_run_of_a_longer_item_is_found():
+    rng = np.random.default_rng(1)
+    item, other = rng.integers(1, 1 << 62, 300, dtype=np.uint64), rng.integers(1, 1 << 62, 40, dtype=np.uint64)
+    texts = [np.concatenate((other, item[100 : 100 + n], other[::-1])) for n in (decontam.RUN, decontam.RUN // 2)]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = list(decontam.Block([0], [item], decontam.MASKS).hits(np.concatenate(texts), first, 0.8, 0.8))
+    assert found == [(0, 0, 40, 40 + decontam.RUN, decontam.RUN)]
+
+
 def test_best_run():
     assert decontam.best_run(np.array([0, 1, 1, 1, 1, 0, 1, 1, 0, 0, 0, 1], bool), 0.8) == (7, 1, 8)
     assert decontam.best_run(np.zeros(4, bool), 0.8) == (0, 0, 0)

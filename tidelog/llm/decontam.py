@@ -4,13 +4,18 @@ A seed is a fixed 0/1 mask over consecutive tokens; only the tokens under a 1
 enter its hash, so a passage with a replaced token still meets its source under
 a mask that ignores that place. Hashes of the test items are joined with those
 of the texts, and each meeting is verified on its whole diagonal: the best run
-there must be at least ``share`` of the item's tokens, with at least ``match``
-of its tokens equal.
+there must be at least ``share`` of the item's tokens or ``RUN`` tokens, with at
+least ``match`` of its tokens equal.
+
+The masks alone miss passages whose every seed is hit by a substitution. So each
+item is also sought by all its runs of ``stretch`` tokens: a run that the rule
+accepts has so few substitutions that one stretch of that many equal tokens must
+lie between two of them. Nothing that the rule accepts is missed.
 
 Tokens are lower-cased words with ASCII punctuation left out. The test items
 are held in blocks of at most ``block_windows`` seed windows; each block is
 broadcast, so what is broadcast has that bound whatever the size of the
-benchmark. Items shorter than the shortest mask are matched by all their tokens.
+benchmark.
 
 Null or empty texts and items: never a hit. Repeated rows: each gives its own
 hits. Empty tables: no hits. Columns other than the id and text are not read.
@@ -18,6 +23,8 @@ hits. Empty tables: no hits. Columns other than the id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,10 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, buffer_of, mix, slices, texts, words
 
-#: Masks over token positions, of one weight and different spans.
+#: Masks over token positions, of different weights and spans.
 MASKS = ("11110111", "1101100110101", "1110010110010011")
 SHARE, MATCH = 0.8, 0.8
+#: A run of so many tokens counts whatever its share of the item.
+RUN = 50
 BLOCK_WINDOWS = 2_000_000
+#: Token pairs compared at once.
+PAIRS = 1 << 21
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
@@ -76,29 +87,57 @@ def best_run(equal: np.ndarray, match: float) -> tuple[int, int, int]:
     return best
 
 
+def needed(n: int, share: float) -> int:
+    """Least length of a run that counts, of an item of n tokens."""
+    return max(1, min(math.ceil(share * n - 1e-9), RUN))
+
+
+def stretch(n: int, share: float, match: float) -> int:
+    """Equal neighbouring tokens that every run that counts must hold, of an item of n tokens."""
+    wrong = [(size, math.floor((1 - match) * size + 1e-9)) for size in range(needed(n, share), n + 1)]
+    return min(-(-(size - e) // (e + 1)) for size, e in wrong)
+
+
 class Block:
     """Seed hashes of some test items, sorted, for lookup."""
 
-    def __init__(self, ids: list, items: list[np.ndarray], masks):
-        self.ids, self.items, self.masks = ids, items, masks
+    def __init__(self, ids: list, items: list[np.ndarray], masks, share: float = SHARE, match: float = MATCH):
+        self.ids, self.items = ids, items
         flat = np.concatenate(items) if items else np.zeros(0, np.uint64)
         first = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(np.int64)
+        self.flat, self.first = flat, first
+        self.size = np.diff(first)
+        known = {n: stretch(n, share, match) for n in set(self.size.tolist()) - {0}}
+        runs = np.array([known.get(n, 0) for n in self.size.tolist()], np.int64)
         self.by_mask = []
-        for mask in masks:
+        for mask, mine in [*((m, runs > 0) for m in masks), *(("1" * k, runs == k) for k in sorted(set(known.values())))]:
             h, at = seed_hashes(flat, first, mask)
             item = np.searchsorted(first, at, "right") - 1
+            ok = mine[item] if len(item) else np.zeros(0, bool)
+            h, at, item = h[ok], at[ok], item[ok]
             order = np.argsort(h, kind="stable")
-            self.by_mask.append((h[order], item[order], (at - first[item])[order]))
-        shortest = min(map(len, masks))
-        self.short = {}
-        for k, x in enumerate(items):
-            if 0 < len(x) < shortest:
-                self.short.setdefault(len(x), []).append((int(x[0]), k))
+            self.by_mask.append((mask, h[order], item[order], (at - first[item])[order]))
+
+    def alike(self, h: np.ndarray, item: np.ndarray, start: np.ndarray, share: float, match: float) -> np.ndarray:
+        """Which diagonals have as many equal tokens as the shortest run that counts."""
+        out = np.zeros(len(item), bool)
+        least = np.array([math.ceil(match * needed(n, share) - 1e-9) for n in self.size.tolist()], np.int64)
+        edges = np.cumsum(self.size[item]) // PAIRS
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(edges)) + 1):
+            n = self.size[item[part]]
+            begin = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(begin, n)
+            at = np.repeat(start[part], n) + place
+            same = (at >= 0) & (at < len(h))
+            same &= h[np.clip(at, 0, len(h) - 1)] == self.flat[np.repeat(self.first[item[part]], n) + place]
+            out[part] = np.add.reduceat(same.astype(np.int64), begin) >= least[item[part]]
+        return out
 
     def hits(self, h: np.ndarray, first: np.ndarray, share: float, match: float):
         """Verified (text, item, token start, token end, equal tokens) of one slice, one row for a text and item."""
         cand = []
-        for mask, (keys, item, at) in zip(self.masks, self.by_mask):
+        width = len(h) + len(self.flat) + 1
+        for mask, keys, item, at in self.by_mask:
             if not len(keys):
                 continue
             g, starts = seed_hashes(h, first, mask)
@@ -108,23 +147,24 @@ class Block:
             n = hi - lo
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = np.repeat(starts[met], n)
-            cand.append(np.stack((item[which], start - at[which])))  # the diagonal is the text position of the item's first token
-        for length, named in self.short.items():
-            for head, k in named:
-                for s in np.flatnonzero(h == np.uint64(head)).tolist():
-                    cand.append(np.array([[k], [s]]))
+            diagonal = start - at[which]  # the text position of the item's first token
+            cand.append(np.unique(item[which] * width + diagonal + len(self.flat)))
         if not cand:
             return
-        pairs = np.unique(np.concatenate(cand, axis=1), axis=1)
+        item, start = np.divmod(np.unique(np.concatenate(cand)), width)
+        start -= len(self.flat)
+        if not len(item):
+            return
+        ok = self.alike(h, item, start, share, match)
         found: dict[tuple[int, int], tuple] = {}
-        for k, d in pairs.T.tolist():
+        for k, d in zip(item[ok].tolist(), start[ok].tolist()):
             item = self.items[k]
             a, b = max(0, -d), min(len(item), len(h) - d)
             doc_of = np.searchsorted(first, np.arange(d + a, d + b), "right") - 1
             for doc in np.unique(doc_of).tolist():
                 part = np.flatnonzero(doc_of == doc) + a
                 length, s, e = best_run(item[part] == h[part + d], match)
-                if length >= share * len(item):
+                if length >= needed(len(item), share):
                     s, e = s + int(part[0]) + d, e + int(part[0]) + d
                     same = int((h[s:e] == item[s - d : e - d]).sum())
                     old = found.get((doc, k))
@@ -134,18 +174,18 @@ class Block:
             yield doc, k, s - int(first[doc]), e - int(first[doc]), same
 
 
-def blocks(bench: DataFrame, id_col: str, masks=MASKS, block_windows: int = BLOCK_WINDOWS):
+def blocks(bench: DataFrame, id_col: str, masks=MASKS, block_windows: int = BLOCK_WINDOWS, share: float = SHARE, match: float = MATCH):
     """Test items in blocks of bounded size, read one partition of ids at a time."""
     rows = bench.select(F.col(id_col).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total * len(masks) // (2 * block_windows)))  # a window needs two characters at least
+    parts = max(1, -(-total * (len(masks) + 1) // (2 * block_windows)))  # a window needs two characters at least
     keyed = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for p in range(parts):
         got = keyed.where(F.col("part") == p).orderBy("item_id", "text").toPandas()
         if len(got):
             w = tokens(pa.array(got["text"].tolist(), pa.string()))
             items = [w.hash[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-            yield Block([None if x != x else int(x) for x in got["item_id"].tolist()], items, masks)
+            yield Block([None if x != x else int(x) for x in got["item_id"].tolist()], items, masks, share, match)
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", masks=MASKS, share: float = SHARE, match: float = MATCH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -153,7 +193,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", masks=M
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, token_start long, token_end long, n_equal long, n_item long"
     out = None
-    for block in blocks(bench, id_col, masks, block_windows):
+    for block in blocks(bench, id_col, masks, block_windows, share, match):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
@@ -175,7 +215,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", masks
     """The rows of ``docs`` without a verified overlap, all columns unchanged. Each block filters in place: no join, no shuffle."""
     spark = docs.sparkSession
     bound_batches(spark)
-    for block in blocks(bench, id_col, masks, block_windows):
+    for block in blocks(bench, id_col, masks, block_windows, share, match):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
