@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,31 @@ def test_secrets(spark, docs, rows, empty):
     assert secret_scan.scan(docs).count() == len(rows) and secret_scan.scan(empty).count() == 0
 
 
+def test_values_are_parted_from_their_names(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(40)) for _ in range(90)]
+    shapes = ["set client_key={} now", "auth={}", "https://host/x?sig={}&y=1", "a_very_long_name_of_a_key_1={}", "pad {}== end"]
+    texts = [shapes[k % 5].format(x) for k, x in enumerate(keys)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = Counter()
+    for r in secret_scan.scan(df).collect():
+        a = texts[r.doc_id].index(keys[r.doc_id])
+        found[r.doc_id % 5] += f"random:{a}:{a + 40 + 2 * (r.doc_id % 5 == 4)}" in r.spans.split(",")
+    assert all(found[k] >= 15 for k in range(5)), found
+
+
+def test_rare_classes_share_thresholds():
+    def bins(**at):
+        return [at.get(f"b{k}", 0) for k in range(secret_scan.BINS)]
+
+    lone, many = bins(b20=1), [10] * secret_scan.BINS
+    assert secret_scan.thresholds({"base62/40": lone})["base62/40"] <= 20 / 64
+    assert secret_scan.thresholds({"base62/40": lone, "base62/64": many, "base36/40": bins(b0=900)})["base62/40"] <= 20 / 64
+    made = bins(b0=500, b1=300, b20=40)
+    assert secret_scan.thresholds({"base62/40": made}) == {"base62/40": 2.0}
+    assert secret_scan.thresholds({"base62/40": lone, "base62/48": made})["base62/40"] == 2.0
+
+
 def test_battery_is_uniform_on_random_strings():
     rng = np.random.default_rng(5)
     p = np.array([secret_scan.battery(rng.integers(0, 64, 48), 64) for _ in range(2000)])

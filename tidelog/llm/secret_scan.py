@@ -13,8 +13,11 @@ p-values uniform on (0, 1), made-up names have small ones. In each class of
 length and encoding the random share is read off the upper half of the
 p-value histogram, and the lowest threshold is taken at which the estimated
 part of non-random strings among those above it is at most ``rate``. So short
-classes, whose tests have little power, need larger p-values. Histograms are
-summed in the cluster; the driver sees classes x bins rows.
+classes, whose tests have little power, need larger p-values. A class of fewer
+than ``ENOUGH`` strings also takes the threshold of the nearest lengths of its
+encoding that have so many together, if that is lower; where an encoding has
+too few at all lengths, the tests decide alone, at the level ``rate``.
+Histograms are summed in the cluster; the driver sees classes x bins rows.
 
 Null and empty texts: no findings, the hash of an empty string. Repeated rows
 are scanned alike. Empty table: empty result. Other columns are not read.
@@ -36,7 +39,7 @@ from .common import cut, slices, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")  # a sign of equality inside parts a name from its value
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets from the smallest, in coding order.
@@ -52,6 +55,8 @@ ALPHABETS = {
 _PLACE = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 BINS, RATE = 64, 0.05
+#: Strings that a class's random share can be read off.
+ENOUGH = BINS
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -140,17 +145,33 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _threshold(counts: list[int], rate: float) -> float:
+    random_per_bin = sum(counts[BINS // 2 :]) / (BINS - BINS // 2)
+    above, best = 0, 2.0
+    for k in range(BINS - 1, -1, -1):
+        above += counts[k]
+        if above and 1 - min(1.0, random_per_bin * (BINS - k) / above) <= rate:
+            best = k / BINS
+    return best
+
+
 def thresholds(histogram: dict[str, list[int]], rate: float = RATE) -> dict[str, float]:
     """Least p-value of a finding, by class."""
     out = {}
     for name, counts in histogram.items():
-        random_per_bin = sum(counts[BINS // 2 :]) / (BINS - BINS // 2)
-        above, best = 0, 2.0
-        for k in range(BINS - 1, -1, -1):
-            above += counts[k]
-            if above and 1 - min(1.0, random_per_bin * (BINS - k) / above) <= rate:
-                best = k / BINS
-        out[name] = best
+        out[name] = _threshold(counts, rate)
+        if sum(counts) >= ENOUGH:
+            continue
+        encoding, length = name.split("/")
+        mine = LENGTHS.index(int(length))
+        for reach in range(1, len(LENGTHS)):
+            near = [histogram.get(f"{encoding}/{n}", [0] * BINS) for n in LENGTHS[max(0, mine - reach) : mine + reach + 1]]
+            shared = [sum(x) for x in zip(*near)]
+            if sum(shared) >= ENOUGH:
+                out[name] = min(out[name], _threshold(shared, rate))
+                break
+        else:
+            out[name] = min(out[name], rate)
     return out
 
 
