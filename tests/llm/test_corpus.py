@@ -1,5 +1,6 @@
 """Operators on the whole corpus, against brute force."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -95,6 +96,13 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(off)) < 4 * np.std(off) / np.sqrt(len(off)) + 1e-3 and np.std(off) < 0.06
 
 
+def test_estimate_misses_less_than_the_bands():
+    m, s = bagminhash.REGISTERS, bagminhash.SIMILARITY
+    missed = sum(math.comb(m, k) * s**k * (1 - s) ** (m - k) for k in range(math.ceil(bagminhash.ESTIMATE * m)))
+    bands = (1 - s**bagminhash.ROWS) ** (m // bagminhash.ROWS)
+    assert missed < 0.01 * bands
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, k) for k in range(301, 340)]
