@@ -29,8 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document after resharding from one shard a source to equal bytes."""
-    return reshard.assign(docs, reshard.by_source())
+    """Every document, whole, with its place after resharding from one shard a source to equal bytes."""
+    return reshard.resharded(docs, reshard.by_source())
 
 
 STAGES = [

@@ -242,6 +242,16 @@ def test_rewrite(spark, docs, rows, tmp_path):
     assert table_of(back.select("doc_id", crc, F.col("_shard").cast("int"))) == table_of(want.select("doc_id", "text_crc32", "shard"))
 
 
+def test_last_stage_carries_the_rows(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = dict(corpus_pipeline.STAGES)["sharding"](spark, df, None)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(map(tuple, rows), key=repr)
+    placed = reshard.assign(df, reshard.by_source()).collect()
+    assert sorted((r.shard, r.slot, r.doc_id or -1) for r in got) == sorted((r.shard, r.slot, r.doc_id or -1) for r in placed)
+
+
 # ------------------------------------------------------------ toxicity
 
 

@@ -125,11 +125,8 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = SHARDS, blocks: int
     return each.join(plan_df, ["old_shard", "block"]).withColumn("slot", F.col("first") + F.row_number().over(at) - 1).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that lose or gain a document under ``path`` (a folder a
-    shard, documents in slot order) and return their numbers; all others keep their files."""
-    moved = placed.where("shard <> old_shard")
-    touched = sorted({x for r in moved.groupBy("old_shard", "shard").count().collect() for x in (r["old_shard"], r["shard"])})
+def _rows_at(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), shard and slot of every row that has a place in ``placed``."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.crc32(text).alias("crc"), (F.octet_length(text) + 1).cast("long").alias("bytes"))
     # equal rows are interchangeable: the k-th of them takes the k-th place
@@ -137,6 +134,21 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     w2 = Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")
     a, b = keyed.withColumn("k", F.row_number().over(w1)), placed.select("doc_id", "size", "text_crc32", "shard", "slot", F.row_number().over(w2).alias("k"))
     on = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["bytes"] == b["size"]) & (a["crc"] == b["text_crc32"]) & (a["k"] == b["k"])
-    out = a.join(b.where(F.col("shard").isin(touched)), on).select("row", F.col("shard").alias("_shard"), "slot")
+    return a.join(b.hint("merge"), on).select("row", "shard", "slot")
+
+
+def resharded(docs: DataFrame, old_shard: Column, **sizes) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, with their shard and slot, in slot order within a shard."""
+    placed = cut(assign(docs, old_shard, **sizes))
+    out = _rows_at(docs, placed).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    return out.select("row.*", "shard", "slot")
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+    """Write the shards that lose or gain a document under ``path`` (a folder a
+    shard, documents in slot order) and return their numbers; all others keep their files."""
+    moved = placed.where("shard <> old_shard")
+    touched = sorted({x for r in moved.groupBy("old_shard", "shard").count().collect() for x in (r["old_shard"], r["shard"])})
+    out = _rows_at(docs, placed).where(F.col("shard").isin(touched)).withColumnRenamed("shard", "_shard")
     out.repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot").select("row.*", "_shard").write.partitionBy("_shard").mode("append").parquet(path)
     return touched
