@@ -71,7 +71,7 @@ def test_cascade_order_changes_no_verdict(docs):
     buf, off = common.buffer_of(texts)
     alone = np.any([r.rejects(quality.Measures(buf, off)) for r in rules], axis=0)
     for order in (rules, rules[::-1]):
-        assert ((quality.cascade(buf, off, order) >= 0) == alone).all()
+        assert ((quality.cascade(quality.Measures(buf, off), order) >= 0) == alone).all()
     ranked = [r.name for r in quality.plan(docs, rules)]
     assert sorted(ranked) == sorted(r.name for r in rules)
 
@@ -184,7 +184,7 @@ def test_every_substitution_within_the_rule_is_found():
             texts.append(np.concatenate((rng.integers(1, 1 << 62, 5, dtype=np.uint64), t, rng.integers(1, 1 << 62, 5, dtype=np.uint64))))
         first = np.arange(len(texts) + 1) * (n + 10)
         block = decontam.Block([0], [item], decontam.MASKS)
-        assert [x[0] for x in block.hits(np.concatenate(texts), first, 0.8, 0.8)] == list(range(len(ways))), n
+        assert [x[0] for x in block.hits(np.concatenate(texts), first)] == list(range(len(ways))), n
 
 
 def test_long_run_of_a_longer_item_is_found():
@@ -192,7 +192,7 @@ def test_long_run_of_a_longer_item_is_found():
     item, other = rng.integers(1, 1 << 62, 300, dtype=np.uint64), rng.integers(1, 1 << 62, 40, dtype=np.uint64)
     texts = [np.concatenate((other, item[100 : 100 + n], other[::-1])) for n in (decontam.RUN, decontam.RUN // 2)]
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    found = list(decontam.Block([0], [item], decontam.MASKS).hits(np.concatenate(texts), first, 0.8, 0.8))
+    found = list(decontam.Block([0], [item], decontam.MASKS).hits(np.concatenate(texts), first))
     assert found == [(0, 0, 40, 40 + decontam.RUN, decontam.RUN)]
 
 
@@ -284,6 +284,11 @@ def test_suffix_automaton():
         for q in seqs[:-1]:
             a.add(q)
         parts = {tuple(q[i:j]) for q in seqs[:-1] for i in range(len(q)) for j in range(i + 1, len(q) + 1)}
+        whole, held = automaton_dedup.Automaton(), set()
+        for q in seqs:
+            told = [max(m for m in range(e + 2) if m == 0 or tuple(q[e + 1 - m : e + 1]) in held | {tuple(q[i:j]) for j in range(e + 1) for i in range(j)}) for e in range(len(q))]
+            assert whole.read(q) == told
+            held |= {tuple(q[i:j]) for i in range(len(q)) for j in range(i + 1, len(q) + 1)}
         last = seqs[-1]
         want = [max(m for m in range(e + 2) if m == 0 or tuple(last[e + 1 - m : e + 1]) in parts) for e in range(len(last))]
         assert a.statistics(last) == want

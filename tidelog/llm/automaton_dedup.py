@@ -7,10 +7,15 @@ are routed to reference shards (see :mod:`.repeats`), each the size of one
 task's memory; a shard's suffix automaton is built and read where its segments
 are, since an automaton of the whole corpus has no size bound and cannot be
 broadcast. Segments stream through in the order of their first occurrence: the
-matching statistics of a segment against all earlier ones give the windows seen
-before, then the segment is added.
+matching statistics of a segment against all earlier ones and its own earlier
+part give the windows seen before, while the segment is added.
 
-Null and empty texts have no words. Texts of fewer words than a window: whole.
+A reference of bounded size is another matter: :func:`against` broadcasts the
+automata of its shards one after the other and streams the documents past each.
+
+Null and empty texts have no words. Very long texts are judged whole; a text of
+one repeated word is one segment. Ties: of equal windows the one that starts
+first stays. Texts of fewer words than a window: whole.
 Equal texts: all words of every copy but the first go, if they fill a window.
 Repeated rows: one of them counts as first. Texts that differ but share a
 doc_id stand in a fixed order; null doc_ids come last. Empty table: empty
@@ -50,26 +55,29 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def add(self, sequence) -> None:
+    def _extend(self, last: int, c) -> int:
+        """The state of the stretch at ``last`` and one more symbol."""
         nxt, link, length = self.next, self.link, self.len
+        q = nxt[last].get(c)
+        if q is not None:  # it is known
+            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
+        cur = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+        return cur
+
+    def add(self, sequence) -> None:
         last = 0
         for c in sequence:
-            q = nxt[last].get(c)
-            if q is not None:  # the sequence so far is known
-                last = q if length[q] == length[last] + 1 else self._clone(last, c, q)
-                continue
-            cur = len(nxt)
-            nxt.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nxt[p][c]
-                link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-            last = cur
+            last = self._extend(last, c)
 
     def statistics(self, sequence) -> list[int]:
         """For each place, the length of the longest stretch ending there that the automaton holds."""
@@ -88,14 +96,31 @@ class Automaton:
         return out
 
 
-def match(data: list[bytes], n: np.ndarray, n_occ: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Runs of windows of each segment that an earlier segment holds."""
-    known, out = Automaton(), []
-    for x in data:
-        seq = x.split(b" ")
-        out.append(flags_to_runs(np.array(known.statistics(seq)[length - 1 :]) >= length))
-        known.add(seq)
-    return out
+    def read(self, sequence) -> list[int]:
+        """For each place, the length of the longest stretch ending there that the automaton or an earlier
+        place of the sequence holds; the sequence is part of the automaton afterwards."""
+        nxt, link, length = self.next, self.link, self.len
+        state, have, last, out = 0, 0, 0, []
+        for c in sequence:
+            while state and c not in nxt[state]:
+                state = link[state]
+                have = length[state]
+            q = nxt[state].get(c)
+            if q is None:
+                have = 0
+            else:
+                state, have = q, have + 1
+            out.append(have)
+            last = self._extend(last, c)
+            while state and have <= length[link[state]]:  # the state has been split
+                state = link[state]
+        return out
+
+
+def match(data: list[bytes], n_occ: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Runs of windows of each segment that an earlier segment holds, or the segment itself further ahead."""
+    known = Automaton()
+    return [flags_to_runs(np.array(known.read(x.split(b" "))[length - 1 :]) >= length) for x in data]
 
 
 PLAN = Plan(LENGTH, GRAM, True, match, first_stays=True)

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a folder of
+    this machine serves a local master, and anything else is an error, since executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -111,16 +116,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
 _TAB = np.random.default_rng(20240115).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A Mersenne prime; sums modulo 2^64 alone make strings of a doubling pattern collide.
+_P = (1 << 31) - 1
+_C = 0x4E1F2A6D
+_SIZE = 0xD6E8FEB86659FD93
+_TAB31 = np.random.default_rng(20240116).integers(1, _P, 256, dtype=np.uint64)
+_MASK31, _31 = np.uint64(_P), np.uint64(31)
+#: Powers up to here are kept between calls; longer texts make theirs anew.
+KEPT_POWERS = 1 << 21
 _pow: dict[str, np.ndarray] = {}
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, 31 bits shorter but for a carry."""
+    low = x & _MASK31
+    low += x >> _31
+    return low
+
+
 def _powers(n: int, which: str) -> np.ndarray:
     have = _pow.get(which)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
-        out = np.full(size, _B if which == "b" else _BI, np.uint64)
-        out[0] = 1
-        _pow[which] = have = np.multiply.accumulate(out)
+        if which in "bi":
+            have = np.full(size, _B if which == "b" else _BI, np.uint64)
+            have[0] = 1
+            have = np.multiply.accumulate(have)
+        else:
+            base, have = (_C if which == "c" else pow(_C, -1, _P)), np.ones(1, np.uint64)
+            while len(have) < size:
+                have = np.concatenate((have, _fold(_fold(have * np.uint64(pow(base, len(have), _P))))))
+        if size <= KEPT_POWERS:
+            _pow[which] = have
     return have[:n]
 
 
@@ -134,23 +161,99 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, one more than the bytes; feeds :func:`span_hash`."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TAB[buf] * _powers(len(buf), "b"), out=out[1:])
-    return out
+def prefix_hash(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums modulo 2^64 and a prime, one more than the bytes; feeds :func:`span_hash`."""
+    n = len(buf)
+    out, odd = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(_TAB[buf] * _powers(n, "b"), out=out[1:])
+    np.cumsum(_fold(_TAB31[buf] * _powers(n, "c")), out=odd[1:])
+    return out, odd
+
+
+def _joined(h: np.ndarray, r: np.ndarray, length) -> np.ndarray:
+    r = _fold(_fold(r))
+    r -= _MASK31 * (r >= _MASK31)
+    r *= np.uint64(0xA24BAED4963EE407)
+    r ^= h + length
+    return mix(r)
 
 
-def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    h = (pre[ends] - pre[starts]) * _powers(len(pre), "i")[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hash(pre: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand. They
+    route and sort; where equality decides a result, bytes are compared (:func:`exact`)."""
+    a, b = pre
+    n = len(a)
+    h = (a[ends] - a[starts]) * _powers(n, "i")[starts]
+    r = _fold(b[ends] - b[starts]) * _powers(n, "j")[starts]
+    return _joined(h, r, (ends - starts).astype(np.uint64) * np.uint64(_SIZE))
 
 
-def even_hash(pre: np.ndarray, k: int) -> np.ndarray:
+def even_hash(pre: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
     """:func:`span_hash` of every k consecutive bytes."""
-    n = len(pre) - k
-    return mix((pre[k:] - pre[:n]) * _powers(len(pre), "i")[:n] + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    a, b = pre
+    n = len(a) - k
+    h = (a[k:] - a[:n]) * _powers(len(a), "i")[:n]
+    r = _fold(b[k:] - b[:n]) * _powers(len(a), "j")[:n]
+    return _joined(h, r, np.uint64(k * _SIZE & (1 << 64) - 1))
+
+
+#: Spans compared at once, and bytes from which a pair is compared on its own.
+_PAIRS, _LONG = 1 << 20, 512
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size[k]`` bytes from ``a[k]`` and from ``b[k]`` are equal, for every k; eight bytes at a step."""
+    out = np.ones(len(a), bool)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    for at in range(0, len(a), _PAIRS):
+        left = np.arange(at, min(at + _PAIRS, len(a)))
+        x, y, n = a[left], b[left], size[left]
+        while len(left):
+            part = np.minimum(n, 8)
+            mask = np.where(part == 8, ~np.uint64(0), (np.uint64(1) << (8 * np.minimum(part, 7)).astype(np.uint64)) - np.uint64(1))
+            same = ((eight[x] ^ eight[y]) & mask) == 0
+            out[left[~same]] = False
+            go = same & (n > 8)
+            left, x, y, n = left[go], x[go] + 8, y[go] + 8, n[go] - 8
+            far = n > _LONG
+            if far.any():
+                for k, p, q, m in zip(left[far].tolist(), x[far].tolist(), y[far].tolist(), n[far].tolist()):
+                    out[k] = np.array_equal(buf[p : p + m], buf[q : q + m])
+                left, x, y, n = left[~far], x[~far], y[~far], n[~far]
+    return out
+
+
+def exact(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's class of equal bytes, the first span of each class), by hash and then byte by byte."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(h, kind="stable")
+    s, size, g = starts[order], (ends - starts)[order], h[order]
+    tied = np.flatnonzero(g[1:] == g[:-1]) + 1
+    new = np.ones(n, bool)
+    new[tied] = False
+    same = size[tied] == size[tied - 1]
+    same[same] = same_bytes(buf, s[tied[same] - 1], s[tied[same]], size[tied[same]])
+    number = np.cumsum(new) - 1
+    first = order[new]
+    if not same.all():
+        # different bytes under one hash: the members of such a class are told apart one by one
+        first = first.tolist()
+        for c in np.unique(number[tied[~same]]).tolist():
+            known: dict[bytes, int] = {}
+            for k in np.flatnonzero(number == c).tolist():
+                data = buf[s[k] : s[k] + size[k]].tobytes()
+                if data not in known:
+                    known[data] = c if not known else len(first)
+                    if known[data] == len(first):
+                        first.append(order[k])
+                number[k] = known[data]
+        first = np.array(first, np.int64)
+    out = np.empty(n, np.int64)
+    out[order] = number
+    return out, first
 
 
 # ---------------------------------------------------------------- words
@@ -168,12 +271,18 @@ class Words:
     ends: np.ndarray
     doc: np.ndarray
     first: np.ndarray  #: index of the first word of each document, one entry more
+    buf: np.ndarray
     hash: np.ndarray = field(default=None)
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, one word of each number): equal numbers are equal words."""
+        return exact(self.buf, self.starts, self.ends, self.hash)
+
 
 def words(buf: np.ndarray, off: np.ndarray, hashed: bool = True) -> Words:
     is_word = ~_WS[buf]
@@ -189,7 +298,7 @@ def words(buf: np.ndarray, off: np.ndarray, hashed: bool = True) -> Words:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     first = np.searchsorted(starts, off).astype(np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Words(starts, ends, doc, first, span_hash(prefix_hash(buf), starts, ends) if hashed else None)
+    return Words(starts, ends, doc, first, buf, span_hash(prefix_hash(buf), starts, ends) if hashed else None)
 
 
 def per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:

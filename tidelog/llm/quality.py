@@ -5,9 +5,15 @@ rejection rate are measured on a hashed sample inside the executors; rules then
 run in descending rejection per cost, each only on what the earlier ones left.
 A verdict is a conjunction, so the order changes the time and never the result.
 
-Null text: empty. Empty text: no words, rejected by ``few_words``. Repeated
-rows are judged one by one and alike. An empty table gives an empty result.
-Columns other than doc_id and text are not read and cannot clash.
+Lines and words are told apart by their bytes; hashes only bring equal ones together.
+
+Null text: empty. Empty text: no words, rejected by ``few_words``. Very long
+texts are measured whole, one at a time, in memory of some 60 times their
+bytes. Ties: a text that several rules reject is named after the first in the
+measured order, and kept or not all the same; rules of equal worth keep the
+order given. Repeated rows are judged one by one and alike. An empty table
+gives an empty result. Columns other than doc_id and text are not read and
+cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CONT, _WS, bound_batches, grams, mix, per_doc, prefix_hash, slices, span_hash, texts, words
+from .common import _CONT, _WS, bound_batches, exact, per_doc, prefix_hash, slices, span_hash, texts, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -40,6 +46,15 @@ class Measures:
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.buf, self.off = buf, off
 
+    def part(self, rows: np.ndarray) -> Measures:
+        """The measures of some of the texts: what is known of them goes along, their bytes are put together."""
+        out = Measures(*take(self.buf, self.off, rows))
+        for name in ("n_words", "word_chars", "n_symbols", "n_bangs", "upper_lower", "lines", "n_repeat_words"):
+            if name in self.__dict__:
+                known = self.__dict__[name]
+                out.__dict__[name] = tuple(x[rows] for x in known) if isinstance(known, tuple) else known[rows]
+        return out
+
     @cached_property
     def words(self):
         return words(self.buf, self.off)
@@ -77,26 +92,36 @@ class Measures:
         word_sum = np.concatenate(([0], np.cumsum(~_WS[buf])))
         has = word_sum[ends] > word_sum[starts]
         starts, ends, doc = starts[has], ends[has], doc[has]
-        key = mix(span_hash(prefix_hash(buf), starts, ends) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-        _, at = np.unique(key, return_index=True)
-        distinct = np.bincount(doc[at], minlength=n)
+        line, known = exact(buf, starts, ends, span_hash(prefix_hash(buf), starts, ends))
+        pairs = np.unique(doc * max(len(known), 1) + line)
+        distinct = np.bincount(pairs // max(len(known), 1), minlength=n)
         count = np.bincount(doc, minlength=n)
         return count, count - distinct
 
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         w, n = self.words, len(self.off) - 1
-        g = grams(w.hash, 3)
-        if not len(g):
-            return np.zeros(n, np.int64)
         at = np.flatnonzero(w.doc[2:] == w.doc[:-2])
-        key = mix(g[at] ^ mix(w.doc[at].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
+        if not len(at):
+            return np.zeros(n, np.int64)
+        number, known = w.classes
+        one, two, three = number[at], number[at + 1], number[at + 2]
+        bits = max(len(known) - 1, 1).bit_length()
+        if 3 * bits < 64:
+            key = (one << 2 * bits) | (two << bits) | three
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+        else:
+            order = np.lexsort((three, two, one))
+            same = np.ones(len(at) - 1, bool)
+            for x in (one, two, three):
+                same &= x[order][1:] == x[order][:-1]
+        # the order is stable, so windows of one document stand together among equal ones
+        same &= w.doc[at[order]][1:] == w.doc[at[order]][:-1]
         twice = np.zeros(len(at), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        hit = np.zeros(len(w.hash), bool)
+        hit = np.zeros(len(number), bool)
         s = at[twice]
         hit[s] = hit[s + 1] = hit[s + 2] = True
         return np.bincount(w.doc[hit], minlength=n)
@@ -161,18 +186,23 @@ def plan(docs: DataFrame, rules=EXTRA_RULES, sample_rows: int = SAMPLE_ROWS) ->
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k))]
 
 
-def cascade(buf: np.ndarray, off: np.ndarray, rules, alive: np.ndarray | None = None) -> np.ndarray:
-    """Index of the rule that rejected each text, -1 where none did; rows not ``alive`` are passed over (-2)."""
-    verdict = np.full(len(off) - 1, -1 if alive is None else -2, np.int64)
+def cascade(m: Measures, rules, alive: np.ndarray | None = None) -> np.ndarray:
+    """Index of the rule that rejected each text, -1 where none did; rows not ``alive`` are passed over (-2).
+
+    Rules see the texts that are left. Measures made before a rule are used again;
+    the bytes of what is left are put together anew only once half of them are gone."""
+    n = len(m.off) - 1
+    verdict = np.full(n, -1 if alive is None else -2, np.int64)
     if alive is not None:
         verdict[alive] = -1
+    mine = np.arange(n)  # the rows that m measures
     for k, rule in enumerate(rules):
-        rest = np.flatnonzero(verdict == -1)
+        rest = np.flatnonzero(verdict[mine] == -1)
         if not len(rest):
             break
-        if k == 0 or len(rest) < len(m.off) - 1:
-            m = Measures(buf, off) if len(rest) == len(off) - 1 else Measures(*take(buf, off, rest))
-        verdict[rest[rule.rejects(m)]] = k
+        if 2 * len(rest) < len(mine):
+            m, mine, rest = m.part(rest), mine[rest], np.arange(len(rest))
+        verdict[mine[rest[rule.rejects(m)[rest]]]] = k
     return verdict
 
 
@@ -184,7 +214,7 @@ def keep_good(docs: DataFrame, rules=BASE_RULES + EXTRA_RULES) -> DataFrame:
 
     def run(batches):
         for rows, buf, off in slices(batches):
-            yield rows.filter(pa.array(cascade(buf, off, ordered) == -1))
+            yield rows.filter(pa.array(cascade(Measures(buf, off), ordered) == -1))
 
     return docs.mapInArrow(run, schema)
 
@@ -196,11 +226,13 @@ def judge(docs: DataFrame, rules=EXTRA_RULES) -> DataFrame:
     def run(batches):
         for rows, buf, off in slices(batches):
             m = Measures(buf, off)
+            columns = [x.astype(np.int64) for x in (m.n_words, m.word_chars, m.n_symbols, m.lines[1], m.n_repeat_words)]
             failed = BASE_RULES[0].rejects(m) | BASE_RULES[1].rejects(m)
-            by = cascade(buf, off, ordered, ~failed)
+            # the base measures are part of the result, so every text has them; the extra rules add only what they need
+            by = cascade(m, ordered, ~failed)
             names = [None if k < 0 else ordered[k].name for k in by.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (m.n_words, m.word_chars, m.n_symbols, m.lines[1], m.n_repeat_words)), pa.array(failed), pa.array(by == -1), pa.array(names, pa.string())],
+                [rows.column("doc_id"), *(pa.array(x) for x in columns), pa.array(failed), pa.array(by == -1), pa.array(names, pa.string())],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"],
             )
 

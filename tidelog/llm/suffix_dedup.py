@@ -6,15 +6,18 @@ judged on the input. Segments of possible repeats are routed to shards (see
 :mod:`.repeats`). A shard puts its segments together and builds their suffix
 array: suffixes are classified as rising or falling, the leftmost rising ones
 (LMS) are sorted by their substrings, equal substrings by a recursion on their
-names, and all other suffixes are induced from them in two linear scans. The
-scans run bucket by bucket, each bucket in waves of whole arrays. Permuted
+names, and all other suffixes are induced from them in two linear scans, a
+bucket at a time. Names are given by comparing the substrings' bytes. Permuted
 common prefixes come from the predecessor of each suffix: they are compared
 only where the preceding bytes differ and fall by one elsewhere. A window whose
 prefix in common with a neighbour reaches ``length`` is repeated.
 
 Null and empty texts: nothing to remove. Texts shorter than ``length``: whole.
-Repeated rows and equal texts: all their bytes go, in every copy. Null doc_id:
-like any other. Empty table: empty result. Other columns are not read.
+Very long texts are judged whole; a task holds the text and a few times its
+bytes, and a text of one repeated byte or word is one segment. Ties: which of
+equal strings counts as first changes nothing, since all of them go. Repeated
+rows and equal texts: all their bytes go, in every copy. Null doc_id: like any
+other. Empty table: empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, mix, slices
+from .common import same_bytes, slices
 from .repeats import Plan, flags_to_runs, spans, with_text
 
 LENGTH, GRAM = 400, 32
+#: Common prefixes longer than this are measured pair by pair.
+FAR = 4096
 #: UTF-8 never has this byte.
 STOP = 0xFF
 
@@ -48,62 +53,68 @@ def rising(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array in which the LMS suffixes keep the order given, by two scans."""
+def _induce(t: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array in which the LMS suffixes keep the order given, by two scans over the buckets.
+
+    A bucket's suffixes that precede one of the same bucket stand in stretches of its
+    symbol, so all of them are put down at once: first those next to what was there, then
+    those two places before it, and so on."""
     n = len(t)
     sa = np.full(n, -1, np.int64)
     size = np.bincount(t, minlength=sigma)
     tail = np.cumsum(size)
     head = tail - size
     c = t[lms]
-    by = np.argsort(c, kind="stable")
+    grouped = lms[np.argsort(c, kind="stable")]
     n_lms = np.bincount(c, minlength=sigma)
-    grouped, upto = lms[by], np.cumsum(n_lms)
+    upto = np.cumsum(n_lms)
+    new = np.ones(n, bool)
+    new[1:] = t[1:] != t[:-1]
+    stretch = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # first place of each symbol's stretch
 
     def deal(j: np.ndarray, ptr: np.ndarray, step: int) -> None:
         """Append to buckets in the order given, upward or downward from their pointers."""
+        if not len(j):
+            return
         ch = t[j]
         o = np.argsort(ch, kind="stable")
-        count = np.bincount(ch, minlength=sigma)
         sc = ch[o]
-        rank = np.arange(len(o)) - (np.cumsum(count) - count)[sc]
+        at = np.flatnonzero(np.concatenate(([True], sc[1:] != sc[:-1])))
+        count = np.diff(np.append(at, len(sc)))
+        rank = np.arange(len(o)) - np.repeat(at, count)
         sa[ptr[sc] + step * rank] = j[o]
-        ptr += step * count
+        ptr[sc[at]] += step * count
+
+    def unrolled(j: np.ndarray) -> np.ndarray:
+        """The given suffixes of one bucket and those that reach them through its own symbol, in waves."""
+        count = j - stretch[j] + 1
+        if not len(j) or count.max() == 1:
+            return j
+        item = np.repeat(np.arange(len(j)), count)
+        wave = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        o = np.argsort(wave, kind="stable")
+        return j[item[o]] - wave[o]
 
     # left to right: falling suffixes behind what is already there
     ptr = head.copy()
     deal(np.array([n - 1]), ptr, 1)
-    for b in np.flatnonzero(size).tolist():
-        lo = head[b]
-        while lo < ptr[b]:
-            batch = sa[lo : ptr[b]]
-            lo = int(ptr[b])
-            j = batch[batch > 0] - 1
-            j = j[~s_type[j]]
-            if len(j):
-                deal(j, ptr, 1)
-        if n_lms[b]:
-            j = grouped[upto[b] - n_lms[b] : upto[b]] - 1
-            j = j[~s_type[j]]
-            if len(j):
-                deal(j, ptr, 1)
+    used = np.flatnonzero(size).tolist()
+    for b in used:
+        mine = unrolled(sa[head[b] : ptr[b]])
+        sa[head[b] : head[b] + len(mine)] = mine
+        ptr[b] = head[b] + len(mine)
+        j = mine[mine > 0] - 1
+        deal(j[t[j] > b], ptr, 1)
+        deal(grouped[upto[b] - n_lms[b] : upto[b]] - 1, ptr, 1)
     # right to left: rising suffixes before what is already there
     falling_end = ptr
     ptr = tail - 1
-    for b in np.flatnonzero(size)[::-1].tolist():
-        hi = tail[b] - 1
-        while hi > ptr[b]:
-            batch = sa[ptr[b] + 1 : hi + 1][::-1]
-            hi = int(ptr[b])
+    for b in reversed(used):
+        mine = unrolled(sa[ptr[b] + 1 : tail[b]][::-1])
+        sa[tail[b] - len(mine) : tail[b]] = mine[::-1]
+        for batch in (mine, sa[head[b] : falling_end[b]][::-1]):
             j = batch[batch > 0] - 1
-            j = j[s_type[j]]
-            if len(j):
-                deal(j, ptr, -1)
-        batch = sa[head[b] : falling_end[b]][::-1]
-        j = batch[batch > 0] - 1
-        j = j[s_type[j]]
-        if len(j):
-            deal(j, ptr, -1)
+            deal(j[t[j] < b], ptr, -1)
     return sa
 
 
@@ -143,39 +154,27 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
     s_type = rising(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if not len(lms):
-        return _induce(t, s_type, lms, sigma)
-    rough = _induce(t, s_type, lms, sigma)
+    rough = _induce(t, lms, sigma)
+    if len(lms) < 2:
+        return rough
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
     # names of LMS substrings, each up to and with the next LMS symbol; the last one runs to the end and is its own
-    ends = np.append(lms[1:] + 1, n)
-    if sigma <= 256:
-        mark = span_hash(prefix_hash(t.astype(np.uint8)), lms, ends)
-    else:
-        pre = np.concatenate(([0], np.cumsum(mix(t.astype(np.uint64)) * _odd_powers(n), dtype=np.uint64))).astype(np.uint64)
-        mark = mix((pre[ends] - pre[lms]) * _odd_powers(n + 1, True)[lms] + (ends - lms).astype(np.uint64))
-    mark[-1] ^= np.uint64(0x5851F42D4C957F2D)
     place = np.empty(n, np.int64)
     place[lms] = np.arange(len(lms))
-    m = mark[place[ordered]]
-    name = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))
+    size = (np.append(lms[1:] + 1, n) - lms)[place[ordered]]
+    size[place[ordered] == len(lms) - 1] = -1
+    same = size[1:] == size[:-1]
+    width, at = t.itemsize, np.flatnonzero(same)
+    same[at] = same_bytes(t.view(np.uint8), width * ordered[at], width * ordered[at + 1], width * size[at])
+    name = np.cumsum(np.concatenate(([0], ~same)))
     if name[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[place[ordered]] = name
         kinds = int(name[-1]) + 1
-        sub = suffix_array(reduced, kinds) if kinds <= len(lms) // 64 else _by_doubling(reduced)
-        ordered = lms[sub]
-    return _induce(t, s_type, ordered, sigma)
-
-
-def _odd_powers(n: int, inverse: bool = False) -> np.ndarray:
-    base = 0xD1342543DE82EF95
-    step = pow(base, -1, 1 << 64) if inverse else base
-    out = np.full(max(n, 1), step, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+        ordered = lms[suffix_array(reduced, kinds) if kinds <= len(lms) // 64 else _by_doubling(reduced)]
+    return _induce(t, ordered, sigma)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,6 +198,19 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int
     eight = np.ndarray((n + 1,), "<u8", padded.tobytes(), strides=(1,))
     alive, a, b = np.arange(len(at)), at, phi[at]
     while len(alive):
+        if len(alive) and length[alive[0]] >= FAR:  # all that are left have come this far: compared one by one, a block at a time
+            for k, p, q in zip(alive.tolist(), a.tolist(), b.tolist()):
+                block, end = 1 << 12, n - max(p, q)
+                done = 0
+                while done < end and length[k] < most:
+                    m = min(block, end - done)
+                    x = t[p + done : p + done + m] != t[q + done : q + done + m]
+                    if x.any():
+                        length[k] += int(x.argmax())
+                        break
+                    length[k] += m
+                    done, block = done + m, min(2 * block, 1 << 22)
+            break
         room = n - np.maximum(a, b)
         x = eight[np.minimum(a, n)] ^ eight[np.minimum(b, n)]
         lowest = x & (~x + np.uint64(1))
@@ -215,7 +227,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int
     return phi, np.where(phi >= 0, np.maximum(carried, 0), 0)
 
 
-def match(data: list[bytes], n: np.ndarray, n_occ: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def match(data: list[bytes], n_occ: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Runs of windows of each segment that occur elsewhere: in it more than once, or in another segment."""
     joined = np.frombuffer(b"".join(x + bytes([STOP]) for x in data), np.uint8)
     size = np.array([len(x) + 1 for x in data], np.int64)
@@ -227,12 +239,9 @@ def match(data: list[bytes], n: np.ndarray, n_occ: np.ndarray, length: int = LEN
     flag[hit] = True
     flag[phi[hit]] = True
     out = []
-    for k in range(len(data)):
+    for k, n in enumerate(n_occ.tolist()):
         windows = int(size[k]) - length
-        mine = flag[first[k] : first[k] + windows].copy()
-        if n_occ[k] > 1:
-            mine[:] = True
-        out.append(flags_to_runs(mine))
+        out.append([(0, windows)] if n > 1 else flags_to_runs(flag[first[k] : first[k] + windows]))
     return out
 
 
