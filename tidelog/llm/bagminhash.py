@@ -10,14 +10,21 @@ are made in rising time, and a shingle stops once it cannot lower any register.
 
 Signatures are cut into bands. Equal texts are one node beforehand. In each
 bucket every node is verified against the bucket's first (a star, linear in the
-bucket); buckets that still hold several classes are then compared wholly in
-blocks of bounded size, by signature first and by exact multisets after. So no
-bucket is capped, and no pair is made twice over for classes already joined.
-
+bucket). Where a bucket still holds several classes, the nodes outside its
+largest class are compared with all others of the bucket, in blocks of bounded
+size, by signature first and by exact multisets after; pairs inside the largest
+class are never made. So no bucket is capped, and a stranger among a million
+copies costs a million comparisons, not their square.
+
+Shingles are told apart by 64-bit hashes of their words' 64-bit hashes: a pair
+of texts of 10,000 shingles each is one shingle off with probability 5e-12.
 Texts of one to four words are one shingle. Texts without words equal only
-themselves. Null text: empty. A class is named by its smallest doc_id (null if
-no member has one). Repeated rows share a class. Empty table: empty result.
-Columns other than doc_id and text are not read.
+themselves. Null text: empty. Very long texts are signed whole; a task holds one
+with some 100 times its bytes. Ties: pairs of exactly the least similarity
+count; a class is named by its smallest doc_id (null if no member has one), and
+of rows with that id the one with the smallest text digest stays. Repeated rows
+share a class. Empty table: empty result. Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -155,24 +162,26 @@ def _item_sets(docs: DataFrame, all_nodes: DataFrame, wanted: DataFrame) -> Data
 
 
 def _compare(rows: pd.DataFrame, least: float, by_sig: bool, band_rows: int = ROWS):
-    """Within each group: rows with a partner of another label that looks alike (by_sig), or
-    verified links that join labels. A pair that shares several bands counts in the first of them."""
+    """Within each task: nodes of side 0 (outside the bucket's largest class) against those of side 1. Yields
+    rows with a partner of another label that looks alike (by_sig), or verified links that join labels.
+    A pair that shares several bands counts in the first of them, and two nodes that both lie outside
+    the largest class count where the smaller number is on side 0."""
     for (band, bucket, i, j), g in rows.groupby(["band", "bucket", "i", "j"], sort=False):
-        label, nid, block = g["label"].to_numpy(), g["nid"].to_numpy(), g["block"].to_numpy()
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
+        label, nid, side, small = (g[c].to_numpy() for c in ("label", "nid", "side", "small"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if by_sig:
             sig = np.stack(g["data"].to_numpy())
             hit = np.zeros(len(g), bool)
             for x in left.tolist():
-                same = sig[right] == sig[x]
-                ok = (same.sum(axis=1) >= least * sig.shape[1]) & (label[right] != label[x])
-                ok &= ~same[:, : band * band_rows].reshape(len(right), -1, band_rows).all(axis=2).any(axis=1)
+                mine = right[(label[right] != label[x]) & (~small[right] | (nid[right] > nid[x]))]
+                same = sig[mine] == sig[x]
+                ok = same.sum(axis=1) >= least * sig.shape[1]
+                ok &= ~same[:, : band * band_rows].reshape(len(mine), -1, band_rows).all(axis=2).any(axis=1)
                 if ok.any():
                     hit[x] = True
-                    hit[right[ok]] = True
+                    hit[mine[ok]] = True
             for x in np.flatnonzero(hit).tolist():
-                yield band, bucket, i, j, nid[x], block[x], label[x]
+                yield band, bucket, i, j, nid[x], side[x], small[x], label[x]
             continue
         sets = [np.frombuffer(x, np.uint64) for x in g["data"]]
         head = {x: x for x in label.tolist()}
@@ -185,10 +194,10 @@ def _compare(rows: pd.DataFrame, least: float, by_sig: bool, band_rows: int = RO
 
         for x in left.tolist():
             for y in right.tolist():
-                if (i == j and y <= x) or find(label[x]) == find(label[y]):
+                if small[y] and nid[y] <= nid[x] or find(label[x]) == find(label[y]):
                     continue
-                small, large = sorted((len(sets[x]), len(sets[y])))
-                if small >= least * large and similarity(sets[x], sets[y]) >= least:
+                low, high = sorted((len(sets[x]), len(sets[y])))
+                if low >= least * high and similarity(sets[x], sets[y]) >= least:
                     head[find(label[x])] = find(label[y])
                     yield nid[x], nid[y]
 
@@ -212,19 +221,24 @@ def links(docs: DataFrame, all_nodes: DataFrame, rows: int = ROWS, least: float
     star = cut(joined(pairs).mapInArrow(_verify(least), "a long, b long"))
     labels = components(star)
     known = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select(*bucket, "nid", "n", F.coalesce("label", "nid").alias("label"))
-    open_ = cut(known.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*bucket))
-    rest = known.join(open_, bucket)
-    n_blocks = F.ceil(F.col("n") / block)
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("nid"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
-    dealt = cut(dealt.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "block", "label"))
-    kinds = "band int, bucket long, i int, j int, nid long, block int, label long"
+    # of each bucket with several labels: how many nodes its largest label has
+    sizes = known.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("k"))
+    open_ = cut(sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1").select(*bucket, F.col("top.label").alias("big"), F.col("top.k").alias("k")))
+    rest = known.join(open_, bucket).withColumn("small", F.col("label") != F.col("big"))
+    n_all, n_small = F.ceil(F.col("n") / block).cast("int"), F.ceil((F.col("n") - F.col("k")) / block).cast("int")
+    mine = rest.withColumn("in_all", F.pmod(F.xxhash64("nid"), n_all).cast("int")).withColumn("in_small", F.pmod(F.xxhash64("nid"), n_small).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = mine.where("small").select(*bucket, F.col("in_small").alias("i"), upto(n_all).alias("j"), "nid", F.lit(0).alias("side"), "small", "label")
+    two = mine.select(*bucket, upto(n_small).alias("i"), F.col("in_all").alias("j"), "nid", F.lit(1).alias("side"), "small", "label")
+    dealt = cut(one.unionByName(two))
+    kinds = "band int, bucket long, i int, j int, nid long, side int, small boolean, label long"
 
     def task(n_rows: int, row_bytes: int):
         """Groups dealt to tasks of about 8 MB."""
         return F.pmod(F.xxhash64(*bucket, "i", "j"), F.lit(max(4 * parts, n_rows * row_bytes >> 23))).alias("task")
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_compare(g, ESTIMATE * least / SIMILARITY, True, rows)), columns=[*bucket, "i", "j", "nid", "block", "label"])
+        return pd.DataFrame(list(_compare(g, ESTIMATE * least / SIMILARITY, True, rows)), columns=[*bucket, "i", "j", "nid", "side", "small", "label"])
 
     def prove(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_compare(g, least, False)), columns=["a", "b"])
