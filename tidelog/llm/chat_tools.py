@@ -7,30 +7,39 @@ arguments}``; a message of role tool whose text is a JSON object with
 that is exactly ``$<id>`` stands for the result of that call.
 
 Calls and results are hash-joined on (conv_id, call id). Calls are ordered
-topologically by Kahn's rounds, each a join and an aggregation over the calls
-still open, so a conversation of any size is never in one task. Every event
-gets ``at`` (a turn no smaller than that of anything it needs) and ``level``
-(greater than that of anything it needs): (conv_id, at, level, turn, idx) is an
-order in which results follow their calls and calls the results they use.
+topologically by Kahn's rounds. A conversation of at most ``most`` references is
+ordered in one task, which holds no more than these. One with more is ordered by
+rounds of joins, each between the calls placed in the round before and those
+that wait for them, so a conversation of any size is never in one task; it takes
+as many rounds as its longest chain of references. Every event gets ``at`` (a
+turn no smaller than that of anything it needs) and ``level`` (greater than that
+of anything it needs): (conv_id, at, level, turn, idx) is an order in which
+results follow their calls and calls the results they use.
 
 Arguments are validated against the tool's JSON schema (type, properties,
 required, additionalProperties, items, enum, minimum, maximum, minLength,
-maxLength). Each event is serialised as canonical JSON: sorted keys, no spaces,
-integers without a fraction, UTF-8 as it is.
+maxLength); a type that is none of JSON's holds for no value. Each event is
+serialised as canonical JSON: sorted keys, no spaces, integers without a
+fraction, UTF-8 as it is, halves of surrogate pairs as escapes.
 
 status: message, ok, duplicate (a later call or result of an id already used),
-unanswered, orphan (a result without a call), malformed (no id or name, or
-arguments that are no object), unknown_tool, invalid (see errors), dangling (an
-argument names no call), cyclic. Null text: an empty message. Null conv_id or
-turn: a conversation or turn of its own, first; null ids are no ids. Repeated
-rows: their calls and results are duplicates of the first. Empty table: empty
-result. Other columns are not read.
+unanswered, orphan (a result without a call), malformed (no id or name, an id or
+name that is no valid Unicode, arguments that are no object; a message nested
+deeper than ``DEPTH``, which stays one event with its text as a string),
+unknown_tool, invalid (see errors), dangling (an argument names no call), cyclic.
+Null text: an empty message. Very long texts are parsed whole; one that is no
+JSON object is a plain message. Null conv_id or turn: a conversation or turn of
+its own, first; null ids are no ids. Ties: of calls (or results) with one id the
+one with the smallest turn, place and JSON digest counts. Repeated rows: their
+calls and results are duplicates of the first. Empty table: empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +48,11 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, drop_cut
 
 _EVENT = "conv_id long, turn long, idx int, role string, kind string, call_id string, name string, errors array<string>, status string, deps array<string>, json string"
+#: Levels of nesting that a message may have.
+DEPTH = 100
+#: References of a conversation that one task may order.
+MOST = 100_000
+_HALF = re.compile("[\ud800-\udfff]")
 _TYPES = {
     "object": lambda x: isinstance(x, dict),
     "array": lambda x: isinstance(x, list),
@@ -62,7 +76,21 @@ def canonical(value) -> str:
             return None if not math.isfinite(x) else int(x) if x.is_integer() and abs(x) < 2**53 else x
         return x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(text: str) -> str:
+    """Half surrogate pairs, which no UTF-8 text can hold, as JSON escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def too_deep(value, most: int = DEPTH) -> bool:
+    layer = [value]
+    for _ in range(most + 1):
+        layer = [y for x in layer if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not layer:
+            return False
+    return True
 
 
 def violations(value, schema: dict, path: str = "") -> list[str]:
@@ -70,7 +98,7 @@ def violations(value, schema: dict, path: str = "") -> list[str]:
     out = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(_TYPES[k](value) for k in kinds):
+    if kinds and not any(k in _TYPES and _TYPES[k](value) for k in kinds):
         return [f"{path or '/'}: not {'|'.join(kinds)}"]
     if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
         out.append(f"{path or '/'}: not in enum")
@@ -104,42 +132,60 @@ def references(value) -> list[str]:
 
 
 def _object(text: str, key: str):
+    """The object that a text is, if it has the key; the text itself where it is nested too deep; or nothing."""
     if key not in text or not text.lstrip().startswith("{"):
         return None
     try:
         found = json.loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
+        return None
+    except RecursionError:
+        return text
+    if not isinstance(found, dict) or key not in found:
         return None
-    return found if isinstance(found, dict) and key in found else None
+    return text if too_deep(found) else found
+
+
+def _name(x) -> str | None:
+    return x if isinstance(x, str) and x and not _HALF.search(x) else None
 
 
 def events_of(role, text, schemas: dict) -> list[tuple]:
     """(kind, call id, name, errors, status, references, canonical JSON) of the events of one message."""
     text = text or ""
-    if role == "assistant" and (found := _object(text, "tool_calls")) is not None and isinstance(found["tool_calls"], list):
-        out = []
-        if found.get("content") not in (None, ""):
-            out.append(("message", None, None, [], "message", [], canonical({"role": role, "content": found["content"]})))
-        for call in found["tool_calls"]:
-            call = call if isinstance(call, dict) else {}
-            cid, name, args = call.get("id"), call.get("name"), call.get("arguments", {})
-            if isinstance(args, str):
-                try:
-                    args = json.loads(args)
-                except (ValueError, RecursionError):
-                    pass
-            good = isinstance(cid, str) and cid and isinstance(name, str) and isinstance(args, dict)
-            errors = violations(args, schemas[name]) if good and name in schemas else []
-            status = "malformed" if not good else "unknown_tool" if name not in schemas else "invalid" if errors else None
-            out.append(("call", cid if isinstance(cid, str) and cid else None, name if isinstance(name, str) else None, errors, status, references(args) if good else [], canonical({"id": cid, "name": name, "arguments": args})))
-        return out
+    if role == "assistant" and (found := _object(text, "tool_calls")) is not None:
+        if isinstance(found, str):
+            return [("message", None, None, [], "malformed", [], canonical({"role": role, "content": text}))]
+        if isinstance(found["tool_calls"], list):
+            out = []
+            if found.get("content") not in (None, ""):
+                out.append(("message", None, None, [], "message", [], canonical({"role": role, "content": found["content"]})))
+            return out + [_call(x, schemas) for x in found["tool_calls"]]
     if role == "tool" and (found := _object(text, "tool_call_id")) is not None:
-        cid = found["tool_call_id"]
-        good = isinstance(cid, str) and cid != ""
-        return [("result", cid if good else None, None, [], None if good else "malformed", [], canonical(found | {"role": "tool"}))]
+        if isinstance(found, str):
+            return [("message", None, None, [], "malformed", [], canonical({"role": role, "content": text}))]
+        cid = _name(found["tool_call_id"])
+        return [("result", cid, None, [], None if cid else "malformed", [], canonical(found | {"role": "tool"}))]
     return [("message", None, None, [], "message", [], canonical({"role": role, "content": text}))]
 
 
+def _call(call, schemas: dict) -> tuple:
+    call = call if isinstance(call, dict) else {}
+    args = call.get("arguments", {})
+    if isinstance(args, str):
+        try:
+            inner = json.loads(args)
+            args = args if too_deep(inner) else inner
+        except (ValueError, RecursionError):
+            pass
+    cid, name = _name(call.get("id")), _name(call.get("name"))
+    good = bool(cid and name) and isinstance(args, dict)
+    errors = [escaped(x) for x in violations(args, schemas[name])] if good and name in schemas else []
+    status = "malformed" if not good else "unknown_tool" if name not in schemas else "invalid" if errors else None
+    told = canonical({"id": call.get("id"), "name": call.get("name"), "arguments": args})
+    return "call", cid, name, errors, status, [escaped(x) for x in references(args)] if good else [], told
+
+
 def parse(messages: DataFrame, schemas: dict) -> DataFrame:
     """One row for each event of every message."""
     bound_batches(messages.sparkSession)
@@ -157,7 +203,91 @@ def parse(messages: DataFrame, schemas: dict) -> DataFrame:
     return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, _EVENT)
 
 
-def link(messages: DataFrame, schemas: dict) -> DataFrame:
+def _order(rows: pa.Table) -> pa.Table:
+    """Kahn's rounds over the references of one conversation; rows are calls with one thing that they need."""
+    need: dict[str, set[str]] = {}
+    turns: dict[str, tuple[int, int]] = {}
+    for call, dep, c, r, dc, dr in zip(*(rows.column(k).to_pylist() for k in ("call_id", "dep", "c_turn", "r_turn", "dep_c", "dep_r"))):
+        need.setdefault(call, set()).add(dep)
+        turns[call], turns[dep] = (c, r), (dc, dr)
+    waiting: dict[str, list[str]] = {}
+    for call, deps in need.items():
+        for dep in deps:
+            waiting.setdefault(dep, []).append(call)
+    open_ = {call: len(deps) for call, deps in need.items()}
+    level, at, done = {}, {}, {}
+
+    def place(call: str, lv: int, after: int) -> None:
+        c, r = turns[call]
+        level[call], at[call] = lv, max(after, -1 if c is None else c)
+        done[call] = max(at[call], -1 if r is None else r)
+
+    wave = [x for x in turns if x not in need]
+    for x in wave:
+        place(x, 0, -1)
+    while wave:
+        ready = []
+        for x in wave:
+            for call in waiting.get(x, ()):
+                open_[call] -= 1
+                if not open_[call]:
+                    ready.append(call)
+        for call in ready:
+            place(call, max(level[d] for d in need[call]) + 2, max(done[d] for d in need[call]))
+        wave = ready
+    stuck = [call for call in need if call not in level]
+    for call in stuck:
+        place(call, 0, -1)
+    names = list(need)
+    cyclic = set(stuck)
+    conv = pa.array([rows.column("conv_id")[0].as_py()] * len(names), pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([conv, pa.array(names, pa.string()), *(pa.array([x[k] for k in names], t) for x, t in zip((level, at, done), kinds)), pa.array([k in cyclic for k in names])], names=["conv_id", "call_id", "level", "at", "done_at", "cyclic"])
+
+
+_PLACED = "conv_id long, call_id string, level int, at long, done_at long, cyclic boolean"
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """The same by joins, for conversations of any size. Each round the calls placed last meet the
+    references to them; a call is placed when as many as it has are met."""
+    key = ["conv_id", "call_id"]
+
+    def on(a, b):
+        return a["conv_id"].eqNullSafe(b["_conv"]) & (a["call_id"] == b["_call"])
+
+    def placed(df, cyclic=False):
+        at = F.greatest(F.coalesce("c_turn", F.lit(-1)), "need_at")
+        return df.select(*key, F.col("need_level").cast("int").alias("level"), at.cast("long").alias("at"), F.greatest(at, F.coalesce("r_turn", F.lit(-1))).cast("long").alias("done_at"), F.lit(cyclic).alias("cyclic"))
+
+    first = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n_open"), F.first("c_turn").alias("c_turn"), F.first("r_turn").alias("r_turn"))
+    state = cut(first.withColumn("need_level", F.lit(0)).withColumn("need_at", F.lit(-1).cast("long")))
+    names = state.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
+    free = edges.select("conv_id", F.col("dep").alias("call_id"), F.col("dep_c").alias("c_turn"), F.col("dep_r").alias("r_turn")).dropDuplicates(key)
+    wave = cut(placed(free.join(names, on(free, names), "left_anti").withColumn("need_level", F.lit(0)).withColumn("need_at", F.lit(-1).cast("long"))))
+    waves, old = [], [wave]
+    while wave.limit(1).count():
+        w = wave.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "level", "done_at")
+        met = edges.join(w, edges["conv_id"].eqNullSafe(w["_conv"]) & (edges["dep"] == w["_call"]))
+        met = met.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), (F.max("level") + 2).alias("new_level"), F.max("done_at").alias("new_at"))
+        m = met.withColumnRenamed("conv_id", "_conv").withColumnRenamed("call_id", "_call")
+        new = state.join(m, on(state, m), "left").select(*key, (F.col("n_open") - F.coalesce("met", F.lit(0))).alias("n_open"), "c_turn", "r_turn", F.greatest("need_level", F.coalesce("new_level", F.lit(0))).alias("need_level"), F.greatest("need_at", F.coalesce("new_at", F.lit(-1))).alias("need_at"))
+        new = cut(new)
+        wave = cut(placed(new.where("n_open = 0")))
+        waves.append(wave)
+        drop_cut(state)
+        state = cut(new.where("n_open > 0"))
+        old += [new]
+    out = placed(state.withColumn("need_level", F.lit(0)).withColumn("need_at", F.lit(-1).cast("long")), True)
+    for x in waves:
+        out = out.unionByName(x)
+    out = cut(out)
+    for x in (*waves, *old, state):
+        drop_cut(x)
+    return out
+
+
+def link(messages: DataFrame, schemas: dict, most: int = MOST) -> DataFrame:
     """conv_id, turn, idx, role, kind, call_id, name, status, errors, at, level and json of every event."""
     everything = cut(parse(messages, schemas))
     key = ["conv_id", "call_id"]
@@ -179,46 +309,26 @@ def link(messages: DataFrame, schemas: dict) -> DataFrame:
     # the calls with references, and which of those exist
     used = everything.where("kind = 'call' AND call_id IS NOT NULL AND size(deps) > 0")
     p2 = renamed(pair)
-    used = used.join(p2, on(used, p2)).where("turn <=> c.turn AND idx = c.idx AND md5(json) = c.tag").select(*key, "deps").dropDuplicates(key)
-    edges = used.select(*key, F.explode("deps").alias("dep"))
-    known = pair.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.lit(True).alias("there"))
-    edges = cut(edges.join(known, edges["conv_id"].eqNullSafe(known["_conv"]) & (edges["dep"] == known["_call"]), "left").select(*key, "dep", F.coalesce("there", F.lit(False)).alias("there")))
+    used = used.join(p2, on(used, p2)).where("turn <=> c.turn AND idx = c.idx AND md5(json) = c.tag").select(*key, "deps", F.col("c.turn").alias("c_turn"), F.col("r.turn").alias("r_turn")).dropDuplicates(key)
+    edges = used.select(*key, "c_turn", "r_turn", F.explode("deps").alias("dep"))
+    known = pair.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("c.turn").alias("dep_c"), F.col("r.turn").alias("dep_r"), F.lit(True).alias("there"))
+    edges = cut(edges.join(known, edges["conv_id"].eqNullSafe(known["_conv"]) & (edges["dep"] == known["_call"]), "left").select(*key, "c_turn", "r_turn", "dep", "dep_c", "dep_r", F.coalesce("there", F.lit(False)).alias("there")))
     dangling = edges.where(~F.col("there")).select(*key).distinct().withColumn("dangles", F.lit(True))
-    open_edges = edges.where("there").select(*key, "dep")
-    need = cut(open_edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n_deps")))
-
-    def placed(df):
-        """level and at of a call, from those of what it needs; its result comes after both."""
-        at = F.greatest(F.coalesce(F.col("c.turn"), F.lit(-1)), "need_at")
-        return df.select(*key, F.col("need_level").alias("level"), at.alias("at"), F.greatest(at, F.coalesce(F.col("r.turn"), F.lit(-1))).alias("done_at"))
-
-    n2 = renamed(need)
-    free = pair.join(n2, on(pair, n2), "left_anti").withColumn("need_level", F.lit(0)).withColumn("need_at", F.lit(-1).cast("long"))
-    done = cut(placed(free))
-    waves, wave, pending = [done], done, need
-    while pending.limit(1).count():
-        sofar = waves[0]
-        for w in waves[1:]:
-            sofar = sofar.unionByName(w)
-        d = sofar.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "level", "done_at")
-        left = renamed(pending)
-        mine = open_edges.join(left, on(open_edges, left)).select(*key, "dep", "n_deps")
-        met = mine.join(d, mine["conv_id"].eqNullSafe(d["_conv"]) & (mine["dep"] == d["_call"])).groupBy(*key, "n_deps").agg(F.count(F.lit(1)).alias("met"), (F.max("level") + 2).alias("need_level"), F.max("done_at").alias("need_at"))
-        met = renamed(met.where("met = n_deps"))
-        wave = cut(placed(pair.join(met, on(pair, met))))
-        if not wave.limit(1).count():
-            break
-        waves.append(wave)
-        w = renamed(wave.select(*key))
-        pending = cut(pending.join(w, on(pending, w), "left_anti"))
-    levels = waves[0]
-    for w in waves[1:]:
-        levels = levels.unionByName(w)
-    levels = levels.withColumn("cyclic", F.lit(False))
-    if pending.limit(1).count():
-        stuck = renamed(pending)
-        own = placed(pair.join(stuck, on(pair, stuck)).withColumn("need_level", F.lit(0)).withColumn("need_at", F.lit(-1).cast("long")))
-        levels = levels.unionByName(own.withColumn("cyclic", F.lit(True)))
+    open_edges = edges.where("there").drop("there")
+
+    # conversations by their number of references: most are ordered in a task, the others by rounds
+    large = cut(open_edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("conv_id").alias("_conv")))
+    if large.limit(1).count():
+        is_large = open_edges["conv_id"].eqNullSafe(large["_conv"])
+        ordered = open_edges.join(large, is_large, "left_anti").groupBy("conv_id").applyInArrow(_order, _PLACED).unionByName(_rounds(cut(open_edges.join(large, is_large, "left_semi"))))
+    else:
+        ordered = open_edges.groupBy("conv_id").applyInArrow(_order, _PLACED)
+    ordered = cut(ordered)
+    drop_cut(large)
+    o = renamed(ordered.select(*key))
+    at = F.coalesce("c.turn", F.lit(-1)).cast("long")
+    free = pair.join(o, on(pair, o), "left_anti").select(*key, F.lit(0).alias("level"), at.alias("at"), F.greatest(at, F.coalesce("r.turn", F.lit(-1))).cast("long").alias("done_at"), F.lit(False).alias("cyclic"))
+    levels = ordered.unionByName(free)
 
     a, b = renamed(levels), renamed(dangling)
     facts = pair.join(a, on(pair, a)).select(*key, "c", "r", "level", "at", "done_at", "cyclic")
