@@ -313,11 +313,23 @@ def brute_ratios(rows):
                 n[c][b[max(0, k - 5) : k + 1]] += 1
     grams = set(n[0]) | set(n[1])
     d = [(lambda one, two: one / max(1, one + 2 * two) or 0.5)(*(sum(v == k for v in n[c].values()) for k in (1, 2))) for c in (0, 1)]
-    c3, c2, k2, c1 = Counter(g[-3:].rjust(3, b"\0") for g in grams), Counter(), Counter(), Counter()
-    for g, v in c3.items():
-        c2[g[:2]] += v
-        k2[g[:2]] += 1
-        c1[g[2:]] += 1
+    # the shared model: grams of each lower order are counted by the different grams of the next one
+    kinds_of, types = {}, {g.rjust(6, b"\0") for g in grams}
+    for k in (5, 4, 3, 2, 1):
+        kinds_of[k] = Counter(g[1:] for g in types)
+        types = set(kinds_of[k])
+
+    def low(g):
+        n_of, ctx = kinds_of[len(g)], g[:-1]
+        mine = [v for x, v in n_of.items() if x[:-1] == ctx] if ctx not in cells[len(g)] else cells[len(g)][ctx]
+        cells[len(g)][ctx] = mine
+        if len(g) == 1:
+            return n_of[g] / sum(mine)
+        if g not in lows:
+            lows[g] = (n_of[g] - 0.75 + 0.75 * len(mine) * low(g[1:])) / sum(mine)
+        return lows[g]
+
+    cells, lows = {k: {} for k in kinds_of}, {}
     total, kinds = [Counter(), Counter()], [Counter(), Counter()]
     for c in (0, 1):
         for g, v in n[c].items():
@@ -328,9 +340,8 @@ def brute_ratios(rows):
         return d[c] * kinds[c][ctx] / total[c][ctx] if total[c][ctx] else 1.0
 
     def prob(c, g):
-        x, ctx = g[-3:].rjust(3, b"\0"), g[:-1]
-        low = (c3[x] - 0.75 + 0.75 * k2[x[:2]] * c1[x[2:]] / sum(c1.values())) / c2[x[:2]]
-        return (max(n[c][g] - d[c], 0) / total[c][ctx] if total[c][ctx] else 0.0) + rest(c, ctx) * low
+        ctx = g[:-1]
+        return (max(n[c][g] - d[c], 0) / total[c][ctx] if total[c][ctx] else 0.0) + rest(c, ctx) * low(g.rjust(6, b"\0")[1:])
 
     number = lambda b: int.from_bytes(b, "big")
     return {number(g): np.log(prob(1, g) / prob(0, g)) for g in grams}, {number(x): np.log(rest(1, x) / rest(0, x)) for x in {g[:-1] for g in grams}}
@@ -382,7 +393,7 @@ def test_toxicity_chunks(spark):
     docs = spark.createDataFrame([*texts, (None, None), (7, "")], "doc_id long, text string").repartition(3)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     whole = table_of(toxicity.score(docs, lab))
-    parts = table_of(toxicity.score(docs, lab, chunk_bytes=5000))
+    parts = table_of(toxicity.score(docs, lab, chunk_bytes=5000, most_keys=100))
     assert [r[:2] for r in parts] == [r[:2] for r in whole] and [r[2] for r in parts] == pytest.approx([r[2] for r in whole], abs=1e-9)
 
 

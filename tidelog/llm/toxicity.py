@@ -1,32 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney models of the characters of words.
 
 Two models, of toxic and of ordinary labelled texts, predict each byte of a
-lower-cased word (and its end) from up to five bytes before it. Both back off
-to one shared model: Kneser-Ney continuation counts of three-byte grams over
-both classes, and below it of single bytes. So an expression that a class has
-hardly seen costs it little more than the shared share, and the difference of
-the two log-likelihoods comes from what one class has seen and the other not.
-
-Grams are counted in the cluster over every training text, and the table of
-their log-ratios stays distributed. Texts are dealt into chunks of about
-``CHUNK_BYTES``; each chunk's distinct grams and contexts meet the table in a
-shuffle, and a chunk is scored with the rows that came back. So no gram is left
-out for its number or a small ratio, and no task holds more of the model than
-its chunk asks for. A context's backoff serves only grams that no count has.
-
-A text's features are the length-normalised log-likelihood difference, the
-largest one of a word, and the largest length-normalised one of a word. A
-logistic curve over them is fitted on training rows that the counts have not
-seen, at most ``FIT_ROWS`` of them, chosen by hash; then the counts are taken
-again over all training rows.
+lower-cased word (and its end) from up to five bytes before it. Both back off to
+one shared Kneser-Ney model, which goes through all lower orders: the count of a
+gram of k bytes is the number of different grams of k + 1 bytes (of either
+class) that end with it, and what is discounted goes to the next lower order,
+down to single bytes. So an expression that a class has hardly seen costs it
+little more than the shared share, and the difference of the two log-likelihoods
+comes from what one class has seen and the other not.
+
+Grams are counted in the cluster over every training text, and no gram is left
+out for its number or a small ratio. A table of log-ratios of at most
+``MOST_KEYS`` grams and contexts (12 bytes each) is broadcast whole. A larger one
+stays distributed: texts are dealt into chunks of about ``CHUNK_BYTES``, each
+chunk's distinct grams and contexts meet the table in a shuffle, and a chunk is
+scored with the rows that came back; so no task holds more of the model than its
+chunk asks for. Both ways give the same scores. A context's backoff serves only
+grams that no count has.
+
+A text's features are the length-normalised log-likelihood difference (also
+returned by itself, as ``difference``), the largest one of a word, and the
+largest length-normalised one of a word. A logistic curve over them is fitted on
+training rows that the counts have not seen, at most ``FIT_ROWS`` of them, chosen
+by hash; then the counts are taken again over all training rows.
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are learned from: 1 to 3 for the
 counts that the curve is fitted to, 4 for the curve, all four for the counts
-that score. Scores use the text alone. Null text: empty. Empty
-texts get the curve's value at zero evidence. No labels of one class: every
-score is the other class's share. Null doc_id: scored, not held out, never
-learned from. Repeated rows are scored alike; a row with several labels counts
-once for each. Empty table: empty result.
+that score. Scores use the text alone. Null text: empty. Empty texts get the
+curve's value at zero evidence. Very long texts are scored whole, one at a time.
+No labels of one class: every score is the other class's share. Ties: a score of
+one half counts as toxic. Null doc_id: scored, not held out, never learned from.
+Repeated rows are scored alike; a row with several labels counts once for each.
+Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +39,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffer_of, cut, drop_cut, free_shuffles, slices, texts, words
 
-ORDER, SHARED = 6, 3
+ORDER, DISCOUNT = 6, 0.75
 CHUNK_BYTES = 16 << 20
+MOST_KEYS = 8_000_000
 FIT_ROWS = 20_000
 #: Set in the keys of contexts, which share one table with the grams (48 bits).
 CONTEXT = 1 << 60
@@ -78,31 +84,48 @@ def _count(batches):
         toxic = rows.column("toxic").to_numpy(zero_copy_only=False)
         buf, off, w = lowered(rows.column("text"))
         for c in (0, 1):
-            mine = np.flatnonzero(toxic[w.doc] == c)
-            _, at, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
-            word, gram = events(buf, w.starts[mine[at]], w.ends[mine[at]])
+            number, one = w.classes
+            n = np.bincount(number[toxic[w.doc] == c], minlength=len(one))
+            mine = np.flatnonzero(n)
+            word, gram = events(buf, w.starts[one[mine]], w.ends[one[mine]])
             g, inverse = np.unique(gram, return_inverse=True)
-            total = np.bincount(inverse, weights=n[word], minlength=len(g)).astype(np.int64)
+            total = np.bincount(inverse, weights=n[mine][word], minlength=len(g)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"g": g.astype(np.int64), "toxic": np.full(len(g), c, np.int32), "n": total})
 
 
+def shared(counted: DataFrame) -> DataFrame:
+    """(low, shared): the backoff model's probability of the last byte of every gram of ORDER - 1 bytes,
+    from the different grams ``g`` of ORDER bytes. A context has at most 256 rows in any window."""
+    kinds, types = {}, counted.select(F.col("g").alias("low"))
+    for k in range(ORDER - 1, 0, -1):
+        types = cut(types.groupBy(F.col("low").bitwiseAND((1 << 8 * k) - 1).alias("low")).agg(F.count(F.lit(1)).alias("c")))
+        kinds[k] = types
+    out = None
+    for k in range(1, ORDER):
+        w = Window.partitionBy("ctx")
+        now = kinds[k].withColumn("ctx", F.shiftright("low", 8)).withColumn("all", F.sum("c").over(w)).withColumn("kinds", F.count(F.lit(1)).over(w))
+        if out is None:
+            out = now.select("low", (F.col("c") / F.col("all")).alias("shared"))
+            continue
+        below = out.select(F.col("low").alias("below"), F.col("shared").alias("p"))
+        now = now.withColumn("below", F.col("low").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(below, "below")
+        out = now.select("low", ((F.col("c") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("all")).alias("shared"))
+    out = cut(out)
+    for x in kinds.values():
+        drop_cut(x)
+    return out
+
+
 def ratios(train: DataFrame) -> DataFrame:
     """(key, ratio) of every gram and context, from training rows (text, toxic); a table of :func:`cut`."""
     one, two = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     counted = cut(train.mapInArrow(_count, "g long, toxic int, n long").groupBy("g").agg(one.alias("t"), two.alias("o")))
     few = counted.agg(*(F.sum(F.when(F.col(c) == k, 1).otherwise(0)).alias(f"{c}{k}") for c in "to" for k in (1, 2))).first()
     d = {c: (few[f"{c}1"] or 0) / max(1, (few[f"{c}1"] or 0) + 2 * (few[f"{c}2"] or 0)) or 0.5 for c in "to"}
-    mask = (1 << 8 * SHARED) - 1
-    g = counted.withColumn("ctx", F.shiftright("g", 8)).withColumn("g3", F.col("g").bitwiseAND(mask))
+    g = counted.withColumn("ctx", F.shiftright("g", 8)).withColumn("low", F.col("g").bitwiseAND((1 << 8 * (ORDER - 1)) - 1))
     ctx = g.groupBy("ctx").agg(*(F.sum(c).alias(f"{c}_n") for c in "to"), *(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"{c}_k") for c in "to"))
-    three = g.groupBy("g3").agg(F.count(F.lit(1)).alias("c3"))
-    pair = three.groupBy(F.shiftright("g3", 8).alias("c2")).agg(F.sum("c3").alias("s3"), F.count(F.lit(1)).alias("k3"))
-    single = three.groupBy(F.col("g3").bitwiseAND(255).alias("b")).agg(F.count(F.lit(1)).alias("c1"))
-    all1 = F.broadcast(single.agg(F.sum("c1").alias("s1")))
-    low = three.withColumn("c2", F.shiftright("g3", 8)).withColumn("b", F.col("g3").bitwiseAND(255)).join(pair, "c2").join(single, "b").join(all1)
-    base = 0.75
-    low = low.select("g3", ((F.col("c3") - base + base * F.col("k3") * F.col("c1") / F.col("s1")) / F.col("s3")).alias("shared"))
-    whole = g.join(ctx, "ctx").join(low, "g3")
+    low = shared(counted)
+    whole = g.join(ctx, "ctx").join(low, "low")
 
     def rest(c):
         return F.when(F.col(f"{c}_n") > 0, d[c] * F.col(f"{c}_k") / F.col(f"{c}_n")).otherwise(1.0)
@@ -113,7 +136,8 @@ def ratios(train: DataFrame) -> DataFrame:
     seen = whole.select(F.col("g").alias("key"), (F.log(prob("t")) - F.log(prob("o"))).cast("float").alias("ratio"))
     unseen = ctx.select((F.col("ctx") + F.lit(CONTEXT)).alias("key"), (F.log(rest("t")) - F.log(rest("o"))).cast("float").alias("ratio"))
     out = cut(seen.unionByName(unseen))
-    drop_cut(counted)
+    for x in (counted, low):
+        drop_cut(x)
     return out
 
 
@@ -122,15 +146,24 @@ def _ask(rows: pa.Table) -> pa.Table:
     asked = []
     for part, _, _ in slices(rows.to_batches()):
         buf, _, w = lowered(part.column("text"))
-        _, at = np.unique(w.hash, return_index=True)
+        at = w.classes[1]
         asked.append(np.unique(events(buf, w.starts[at], w.ends[at])[1]).astype(np.int64))
     g = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
     key = np.concatenate((g, np.unique(g >> 8) + CONTEXT))
     return pa.table({"chunk": pa.array(np.full(len(key), rows.column("chunk")[0].as_py()), pa.int64()), "key": pa.array(key, pa.int64())})
 
 
-def look_up(rows: DataFrame, model: DataFrame, run, schema: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def look_up(rows: DataFrame, model: DataFrame, run, schema: str, chunk_bytes: int = CHUNK_BYTES, most_keys: int = MOST_KEYS) -> DataFrame:
     """``run(batch, x)`` of every slice of ``rows``, x being the features of its texts under the table of :func:`ratios`."""
+    if model.limit(most_keys + 1).count() <= most_keys:
+        whole = model.toArrow()
+        held = rows.sparkSession.sparkContext.broadcast(Model.of(whole.column("key").to_numpy(), whole.column("ratio").to_numpy()))
+
+        def every(batches):
+            for r, _, _ in slices(batches):
+                yield run(r, held.value.features(r.column("text")))
+
+        return rows.mapInArrow(every, schema)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     # one exchange of the texts serves both the question and the scoring
@@ -174,7 +207,7 @@ class Model:
         out = np.zeros((n, 3))
         if not len(w.starts):
             return out
-        _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        back, at = w.classes
         word, gram = events(buf, w.starts[at], w.ends[at])
         gram = gram.astype(np.int64)
         g, inverse = np.unique(gram, return_inverse=True)
@@ -210,8 +243,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray,
     return w, mean, scale
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, chunk_bytes: int = CHUNK_BYTES, most_keys: int = MOST_KEYS) -> DataFrame:
+    """doc_id, held_out, score, predicted and difference of every row."""
     spark = docs.sparkSession
     mine = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(fold("_id") != 0)
     rows = texts(docs).where(fold() != 0)
@@ -226,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, chunk_by
     spare = known.where("fold = 4")
     n = spare.count()
     part = spare.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20 if n <= fit_rows else (fit_rows << 20) // n))
-    got = look_up(part.select("doc_id", "text", "toxic"), first, measure, "toxic int, a double, b double, c double", chunk_bytes).collect()
+    got = look_up(part.select("doc_id", "text", "toxic"), first, measure, "toxic int, a double, b double, c double", chunk_bytes, most_keys).collect()
     got = np.array([tuple(r) for r in got], float).reshape(-1, 4)
     drop_cut(first)
     model = ratios(known.select("text", "toxic"))
@@ -236,7 +269,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, chunk_by
 
     def judge(r, x):
         p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ weights[:-1] + weights[-1], -30, 30)))
-        return pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        return pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(x[:, 0])], names=["doc_id", "held_out", "score", "predicted", "difference"])
 
     every = texts(docs).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
-    return look_up(every, model, judge, "doc_id long, held_out boolean, score double, predicted int", chunk_bytes)
+    return look_up(every, model, judge, "doc_id long, held_out boolean, score double, predicted int, difference double", chunk_bytes, most_keys)
