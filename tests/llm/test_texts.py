@@ -130,6 +130,32 @@ def test_values_are_parted_from_their_names(spark):
     assert all(found[k] >= 15 for k in range(5)), found
 
 
+def test_base_findings_are_tested(spark):
+    rng = random.Random(9)
+    drawn = "".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(40))
+    texts = [f"token = {drawn}", "token = aaaaaaaaaaaaaaaaaaaaaaaa", "deadbeefdeadbeefdeadbeef", "password: not.a.key.at.all", "AKIA" + "Q7R2ZK9W4M1X5T8B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.base_tests.split(",")[0].split(":") for r in secret_scan.scan(df).collect()}
+    assert got[0][:4] == ["assign", "0", "48", "base62"] and float(got[0][4]) > 0.01
+    assert float(got[1][4]) < 1e-6 and float(got[2][4]) < 0.05 and got[3][3:] == ["", ""] and got[4][0] == "access"
+
+
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_recall_of_small_classes(size):
+    """Of random keys of a class with few members, at least nine in ten are found, alone or beside made-up names."""
+    rng = np.random.default_rng(size)
+    found = total = 0
+    for _ in range(300 // size):
+        p = [secret_scan.battery(rng.integers(0, 62, 40), 62) for _ in range(size)]
+        counts = [0] * secret_scan.BINS
+        for x in p:
+            counts[min(int(x * secret_scan.BINS), secret_scan.BINS - 1)] += 1
+        limit = secret_scan.thresholds({"base62/40": counts})["base62/40"]
+        found += sum(x >= limit for x in p)
+        total += size
+    assert found >= 0.9 * total, (found, total)
+
+
 def test_rare_classes_share_thresholds():
     def bins(**at):
         return [at.get(f"b{k}", 0) for k in range(secret_scan.BINS)]

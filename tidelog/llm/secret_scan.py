@@ -2,6 +2,9 @@
 
 Base findings are runs of three fixed shapes (:data:`ASSIGN`, :data:`ACCESS`,
 :data:`HEX`), leftmost and non-overlapping for each, as spans of code points.
+They stay whatever their characters are; the battery below tells for each, in
+``base_tests``, the encoding of its value and a p-value, so that a reader can
+part drawn keys from words and placeholders.
 
 Everything else of 20 or more key characters that has a letter and a digit and
 overlaps no base finding is a candidate. Its encoding is inferred as the
@@ -19,8 +22,11 @@ encoding that have so many together, if that is lower; where an encoding has
 too few at all lengths, the tests decide alone, at the level ``rate``.
 Histograms are summed in the cluster; the driver sees classes x bins rows.
 
-Null and empty texts: no findings, the hash of an empty string. Repeated rows
-are scanned alike. Empty table: empty result. Other columns are not read.
+Null and empty texts: no findings, the hash of an empty string. Very long texts
+are scanned whole; a value of any length is tested whole. Ties: spans that start
+at one place stand in the order assign, access, hex, random; a p-value equal to
+the threshold is a finding. Repeated rows are scanned alike. Empty table: empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,19 +61,29 @@ ALPHABETS = {
 _PLACE = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 BINS, RATE = 64, 0.05
+#: Characters of a base finding's value that the battery asks for.
+LEAST = 12
 #: Strings that a class's random share can be read off.
 ENOUGH = BINS
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base findings."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+def base_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind number, end, value) of the base findings; the value of an assignment is what follows its sign."""
+    out = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
-        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        out += [(m.start(), 1, m.end(), m[0][4:]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     return sorted(out)
 
 
+def tested(value: str) -> str:
+    """encoding:p-value of a base finding's value; empty fields where no alphabet holds it or it is too short."""
+    found = infer(value)
+    if not found or len(found[1]) < LEAST:
+        return ":"
+    return f"{found[0]}:{battery(found[1], len(ALPHABETS[found[0]])):.6f}"
+
+
 def infer(token: str) -> tuple[str, np.ndarray] | None:
     """Encoding and code values of a token; padding is left out, url-safe signs read as the plain ones."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
@@ -132,12 +148,12 @@ def length_class(n: int) -> int:
     return max(x for x in LENGTHS if x <= n)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, float]]:
     """(start, end, class, p-value) of the strings outside base findings."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if not (_DIGIT.search(token) and _LETTER.search(token)) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if not (_DIGIT.search(token) and _LETTER.search(token)) or any(x[0] < m.end() and m.start() < x[2] for x in base):
             continue
         found = infer(token)
         if found and len(found[1]) >= LENGTHS[0]:
@@ -175,23 +191,23 @@ def thresholds(histogram: dict[str, list[int]], rate: float = RATE) -> dict[str,
     return out
 
 
-_SCAN = "doc_id long, base array<struct<start:int,kind:int,stop:int>>, more array<struct<start:int,stop:int,name:string,p:double>>"
+_SCAN = "doc_id long, base array<struct<start:int,kind:int,stop:int,test:string>>, more array<struct<start:int,stop:int,name:string,p:double>>"
 
 
 def _scan(batches):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("test", pa.string())]))
     kind2 = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("name", pa.string()), ("p", pa.float64())]))
     for rows, _, _ in slices(batches):
         base, more = [], []
         for text in rows.column("text").to_pylist():
             b = base_spans(text)
-            base.append([{"start": s, "kind": k, "stop": e} for s, k, e in b])
+            base.append([{"start": s, "kind": k, "stop": e, "test": tested(v)} for s, k, e, v in b])
             more.append([{"start": s, "stop": e, "name": n, "p": p} for s, e, n, p in candidates(text, b)])
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, kind), pa.array(more, kind2)], names=["doc_id", "base", "more"])
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every row."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans and base_tests of every row."""
     found = cut(texts(docs).mapInArrow(_scan, _SCAN))
     binned = found.select(F.explode("more").alias("m")).groupBy("m.name", F.least(F.floor(F.col("m.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
     histogram: dict[str, list[int]] = {}
@@ -201,7 +217,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     def finish(batches):
         for rows in batches:
-            counts, digest, spans = [], [], []
+            counts, digest, spans, tests = [], [], [], []
             for base, more in zip(rows.column("base").to_pylist(), rows.column("more").to_pylist()):
                 b = sorted((x["start"], x["kind"], x["stop"]) for x in base)
                 r = [(x["start"], 3, x["stop"]) for x in more if x["p"] >= limit.get(x["name"], 2.0)]
@@ -209,7 +225,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
                 told = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in x) for x in (b, sorted(b + r))]
                 digest.append(hashlib.sha256(told[0].encode()).hexdigest())
                 spans.append(told[1])
+                tests.append(",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['stop']}:{x['test']}" for x in sorted(base, key=lambda x: (x["start"], x["kind"]))))
             n = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(n[:, j]) for j in range(4)), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(n[:, j]) for j in range(4)), *(pa.array(x, pa.string()) for x in (digest, spans, tests))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "base_tests"])
 
-    return found.mapInArrow(finish, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return found.mapInArrow(finish, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, base_tests string")
