@@ -10,9 +10,12 @@ only shards that lose or gain a block are rewritten.
 
 Rows equal in doc_id, size and checksum are counted first and told apart by a
 copy number, so that any number of copies spreads over blocks. Null text: size
-1 (its end mark). Null doc_id: hashed like any other value. More shards than
-documents: some stay empty. Empty table: empty result. Columns other than those
-named are not read.
+1 (its end mark). Very long texts count by their bytes, and one larger than a
+shard's share fills more than that share. Null doc_id: hashed like any other
+value. Ties: equal costs take the shard of the smaller number, blocks of equal
+bytes go in the order of old shard and number. More shards than documents: some
+stay empty. Empty table: empty result. Columns other than those named are not
+read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut, free_shuffles
 
 SHARDS, BLOCKS = 16, 2048
 
@@ -125,30 +128,57 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = SHARDS, blocks: int
     return each.join(plan_df, ["old_shard", "block"]).withColumn("slot", F.col("first") + F.row_number().over(at) - 1).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
+#: Off, a join takes sides that are dealt by a part of its keys as they are.
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def _rows_at(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """row (all columns of ``docs``), shard and slot of every row that has a place in ``placed``."""
+    """A table of :func:`cut`: row (all columns of ``docs``), shard and slot of every row that has a place in ``placed``."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.crc32(text).alias("crc"), (F.octet_length(text) + 1).cast("long").alias("bytes"))
+
+    def keys(size, crc):
+        return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), size.alias("bytes"), crc.alias("crc")]
+
     # equal rows are interchangeable: the k-th of them takes the k-th place
-    w1 = Window.partitionBy("doc_id", "bytes", "crc").orderBy("doc_id")
-    w2 = Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")
-    a, b = keyed.withColumn("k", F.row_number().over(w1)), placed.select("doc_id", "size", "text_crc32", "shard", "slot", F.row_number().over(w2).alias("k"))
-    on = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["bytes"] == b["size"]) & (a["crc"] == b["text_crc32"]) & (a["k"] == b["k"])
-    return a.join(b.hint("merge"), on).select("row", "shard", "slot")
+    by = ["id", "none", "bytes", "crc"]
+    a = docs.select(F.struct("*").alias("row"), *keys((F.octet_length(text) + 1).cast("long"), F.crc32(text)))
+    a = a.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
+    b = placed.select(*keys(F.col("size"), F.col("text_crc32")), "shard", "slot")
+    b = b.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("shard", "slot")))
+    conf = docs.sparkSession.conf
+    before = conf.get(_ALL_KEYS, "true")
+    conf.set(_ALL_KEYS, "false")  # the windows have dealt both sides by their first four keys, so rows travel once
+    try:
+        return cut(a.join(b.hint("merge"), [*by, "k"]).select("row", "shard", "slot"))
+    finally:
+        conf.set(_ALL_KEYS, before)
 
 
 def resharded(docs: DataFrame, old_shard: Column, **sizes) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, with their shard and slot, in slot order within a shard."""
     placed = cut(assign(docs, old_shard, **sizes))
-    out = _rows_at(docs, placed).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    found = _rows_at(docs, placed)
+    drop_cut(placed)
+    free_shuffles(docs.sparkSession)
+    out = found.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     return out.select("row.*", "shard", "slot")
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that lose or gain a document under ``path`` (a folder a
-    shard, documents in slot order) and return their numbers; all others keep their files."""
+    """Write the shards that lose or gain a document under ``path`` (a folder ``_shard=k`` a
+    shard, documents in slot order) and return their numbers; all others keep their files.
+
+    A shard's folder is replaced as a whole, so a second run after a failure gives the same
+    folders. ``docs`` must not be read from ``path``."""
+    spark = docs.sparkSession
     moved = placed.where("shard <> old_shard")
     touched = sorted({x for r in moved.groupBy("old_shard", "shard").count().collect() for x in (r["old_shard"], r["shard"])})
-    out = _rows_at(docs, placed).where(F.col("shard").isin(touched)).withColumnRenamed("shard", "_shard")
-    out.repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot").select("row.*", "_shard").write.partitionBy("_shard").mode("append").parquet(path)
+    filled = {r["shard"] for r in placed.select("shard").distinct().collect()}
+    found = _rows_at(docs, placed.where(F.col("shard").isin(touched)))
+    out = found.withColumnRenamed("shard", "_shard").repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    out.select("row.*", "_shard").write.partitionBy("_shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    drop_cut(found)
+    for k in set(touched) - filled:  # a shard that has lost all it had
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_shard={k}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return touched
