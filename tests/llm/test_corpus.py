@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,16 @@ def test_chains_and_blocks(spark):
     assert labels.select("label").distinct().count() == len({c for _, c in want})
 
 
+def test_nodes_without_a_partner_in_their_block():
+    """A node outside the largest class may find nothing to compare with on the other side of its block."""
+    sig = np.arange(bagminhash.REGISTERS)
+    row = {"band": 0, "bucket": 1, "i": 0, "j": 0, "side": 0, "small": True, "label": 5, "nid": 7, "data": sig}
+    alone = pd.DataFrame([row, row | {"side": 1}])
+    assert list(bagminhash._compare(alone, 0.5, True)) == []
+    two = pd.DataFrame([row, row | {"side": 1, "small": False, "label": 1, "nid": 2}])
+    assert [r[4] for r in bagminhash._compare(two, 0.5, True)] == [7, 2]
+
+
 def test_keep_one(docs, rows):
     left = bagminhash.keep_one(docs)
     assert left.columns == docs.columns and {r.label for r in left.collect()} == {"clash"}

@@ -174,6 +174,8 @@ def _compare(rows: pd.DataFrame, least: float, by_sig: bool, band_rows: int = RO
             hit = np.zeros(len(g), bool)
             for x in left.tolist():
                 mine = right[(label[right] != label[x]) & (~small[right] | (nid[right] > nid[x]))]
+                if not len(mine):
+                    continue
                 same = sig[mine] == sig[x]
                 ok = same.sum(axis=1) >= least * sig.shape[1]
                 ok &= ~same[:, : band * band_rows].reshape(len(mine), -1, band_rows).all(axis=2).any(axis=1)
