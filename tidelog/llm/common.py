@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer text is handled alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows and bytes that Spark hands to a Python worker at once; one longer row goes alone.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
