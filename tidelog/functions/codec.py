@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -244,14 +245,19 @@ def crc32_of(data: bytes) -> int:
 _CASTAGNOLI = 0x82F63B78  # reversed polynomial
 
 
-def crc32c_of(data: bytes) -> int:
-    """CRC-32C on the driver, for commit records."""
-    table = []
+@functools.cache
+def _crc32c_table() -> tuple[int, ...]:
+    out = []
     for n in range(256):
         for _ in range(8):
             n = n >> 1 ^ (_CASTAGNOLI if n & 1 else 0)
-        table.append(n)
-    crc = 0xFFFFFFFF
+        out.append(n)
+    return tuple(out)
+
+
+def crc32c_of(data: bytes) -> int:
+    """CRC-32C on the driver, for commit records."""
+    table, crc = _crc32c_table(), 0xFFFFFFFF
     for b in data:
         crc = crc >> 8 ^ table[(crc ^ b) & 255]
     return crc ^ 0xFFFFFFFF

@@ -89,7 +89,8 @@ class Conflict(KVError):
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a store. Sizes are bytes."""
+    """Settings of a store. Sizes are bytes. There are no memtables and no in-level tables to size, so
+    there are no settings for them."""
 
     dir: str = ""
     value_dir: str = ""
@@ -98,13 +99,11 @@ class Options:
     read_only: bool = False
     in_memory: bool = False
     mem_table_size: int = 64 << 20
-    base_table_size: int = 2 << 20
     base_level_size: int = 10 << 20
     level_size_multiplier: int = 10
     table_size_multiplier: int = 2
     max_levels: int = 7
     value_threshold: int = 1024
-    num_memtables: int = 20
     block_size: int = 4096
     bloom_false_positive: float = 0.01
     num_level_zero_tables: int = 5
@@ -118,6 +117,8 @@ class Options:
     create_if_not_exists: bool = True
     max_batch_count: int = 0
     max_batch_size: int = 0
+    #: Rows of one key from which a compaction splits it over tasks.
+    hot_key_rows: int = 5_000_000
 
     def fixed(self) -> Options:
         """These settings with what follows from others filled in, or BadConfig."""

@@ -28,8 +28,11 @@ def asof_join(facts: DataFrame, dim: DataFrame, key: str, ts: str, now_ms: int)
 
 
 def garbage(df: DataFrame, now_ms: int) -> DataFrame:
-    """Rows by what a full compaction would do: live newest versions, dead newest ones, older ones."""
-    w = Window.partitionBy("user_key")
-    newest = F.col("version") == F.max("version").over(w)
-    state = F.when(~newest, "old").when(C.dead(now_ms), "dead").otherwise("live")
-    return df.withColumn("state", state).groupBy("state").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("value")).alias("bytes"), F.count(F.when(F.col("meta").bitwiseAND(DELETE) != 0, 1)).alias("deletes"))
+    """Rows by what a full compaction would do: live newest versions, dead newest ones, older ones. Rows are unique in (user_key, version)."""
+    deleted = F.col("meta").bitwiseAND(DELETE) != 0
+    slim = df.select("user_key", "version", C.dead(now_ms).alias("dead"), deleted.alias("deleted"), F.octet_length("value").cast("long").alias("size"))
+    # a key's rows shrink to its newest one and sums before the shuffle, so a hot key is one row of each task
+    one = slim.groupBy("user_key").agg(F.max(F.struct("version", "dead", "deleted", "size")).alias("top"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count(F.when(F.col("deleted"), 1)).alias("deletes"))
+    top = F.struct(F.when(F.col("top.dead"), "dead").otherwise("live").alias("state"), F.lit(1).cast("long").alias("n"), F.col("top.size").alias("bytes"), F.col("top.deleted").cast("long").alias("deletes"))
+    old = F.struct(F.lit("old").alias("state"), (F.col("n") - 1).alias("n"), (F.col("bytes") - F.col("top.size")).alias("bytes"), (F.col("deletes") - F.col("top.deleted").cast("long")).alias("deletes"))
+    return one.select(F.inline(F.array(top, old))).where("n > 0").groupBy("state").agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.sum("deletes").alias("deletes"))

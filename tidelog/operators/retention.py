@@ -56,6 +56,27 @@ def retain_hot(df: DataFrame, discard_ts: int, keep: int, now_ms: int, has_overl
     return out if has_overlap else out.where(~(counted & gone))
 
 
+def merged(df: DataFrame, parts: int, discard_ts: int, keep: int, now_ms: int, has_overlap: bool, hot: list[bytes] = ()) -> DataFrame:
+    """What a compaction keeps of rows with ``seq`` that may hold a key and version several times (the newest
+    source counts), dealt by key ranges and in file order: key ascending, version descending.
+
+    One exchange and one sort serve the merge, the retention and the files. Rows of
+    ``hot`` keys, each too many for one task, go by ranges of key and version
+    instead, and meet their bounds in a join (:func:`retain_hot`)."""
+    many = F.col("user_key").isin([F.lit(bytearray(k)) for k in hot]) if hot else F.lit(False)
+    w = Window.partitionBy("user_key").orderBy(F.desc("version"), F.desc("seq"))
+    cold = (df.where(~many) if hot else df).repartitionByRange(parts, "user_key").sortWithinPartitions("user_key", F.desc("version"), F.desc("seq"))
+    cold = cold.withColumn("_above", F.lag("version").over(w)).where("_above IS NULL OR _above <> version").drop("_above")
+    out = retain(cold, discard_ts, keep, now_ms, has_overlap)
+    if not hot:
+        return out
+    rows = df.where(many).repartitionByRange(parts, "user_key", F.desc("version"))
+    two = Window.partitionBy("user_key", "version").orderBy(F.desc("seq"))
+    rows = rows.withColumn("_rn", F.row_number().over(two)).where("_rn = 1").drop("_rn")
+    rows = retain_hot(rows, discard_ts, keep, now_ms, has_overlap)
+    return out.unionByName(rows.sortWithinPartitions("user_key", F.desc("version")))
+
+
 def latest_versions(df: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("user_key").orderBy(F.desc("version"))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ..model import BadConfig
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local master may do without that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise BadConfig("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    return f"{root}/store-{uuid.uuid4().hex}"
+
 
 class Files:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, sync: bool = False):
+        self.sync = sync
         self._jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
         self.root = root
@@ -47,6 +62,8 @@ class Files:
     def write(self, name: str, data: bytes) -> None:
         stream = self._fs.create(self._path(self.at(name)), True)
         stream.write(bytearray(data))
+        if self.sync:
+            stream.hsync()
         stream.close()
 
     def write_new(self, name: str, data: bytes) -> bool:
