@@ -56,11 +56,33 @@ def file_key_ranges(df: DataFrame, file: str = "file_id") -> DataFrame:
     return df.groupBy(file).agg(F.min("user_key").alias("smallest"), F.max("user_key").alias("biggest"), F.min("version").alias("min_version"), F.max("version").alias("max_version"), F.count(F.lit(1)).alias("n_rows"))
 
 
+#: Keys that the key space is cut at for :func:`overlapping`, at most.
+CUTS = 256
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of files whose ranges meet; both sides are file lists (smallest, biggest), a row for a file."""
-    x, y = a.alias("a"), b.alias("b")
-    on = (F.col("a.smallest") <= F.col("b.biggest")) & (F.col("b.smallest") <= F.col("a.biggest"))
-    return x.join(y, on)
+    """Pairs of files whose ranges meet, under the names ``a`` and ``b``; both sides are file lists (smallest, biggest), a row for a file.
+
+    The key space is cut at up to ``CUTS`` of the smallest keys. Each range goes to
+    the stretches it reaches into, ranges meet where they share one, and a pair
+    counts in the first stretch that both reach: an equi-join, which makes no pair
+    that is not in the result."""
+    picked = a.select("smallest").union(b.select("smallest")).distinct().orderBy(F.xxhash64("smallest"), "smallest").limit(CUTS)
+    cuts = sorted(bytes(r[0]) for r in picked.collect())
+    at = F.array(*(F.lit(bytearray(c)) for c in cuts)) if cuts else F.array().cast("array<binary>")
+
+    def stretch(key):
+        """How many cuts lie at or below a key."""
+        return F.size(F.filter(at, lambda c: c <= F.col(key)))
+
+    def dealt(df):
+        return df.withColumn("_from", stretch("smallest")).withColumn("_at", F.explode(F.sequence("_from", stretch("biggest"))))
+
+    x, y = dealt(a).alias("a"), dealt(b).alias("b")
+    meet = (F.col("a.smallest") <= F.col("b.biggest")) & (F.col("b.smallest") <= F.col("a.biggest"))
+    first = F.col("a._at") == F.greatest("a._from", "b._from")
+    out = x.join(y, (F.col("a._at") == F.col("b._at")) & meet & first)
+    return out.select(*(F.struct(*(F.col(f"{n}.{c}") for c in df.columns)).alias(n) for n, df in (("a", a), ("b", b))))
 
 
 def overlapping_files(files: DataFrame, left: bytes, right: bytes) -> DataFrame:
