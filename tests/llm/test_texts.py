@@ -197,6 +197,54 @@ def test_decontamination(spark, change):
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.keep_clean(docs.limit(0), bench).count() == 0
 
 
+def brute_hits(items, h, first):
+    """Best passages by trying every diagonal and every run."""
+    out = []
+    for t in range(len(first) - 1):
+        x = h[first[t] : first[t + 1]]
+        for k, item in enumerate(items):
+            best = None
+            for d in range(-len(item) + 1, len(x)):
+                a, b = max(0, -d), min(len(item), len(x) - d)
+                eq = item[a:b] == x[a + d : b + d]
+                run = max(((j - i + 1, -i) for i in np.flatnonzero(eq) for j in np.flatnonzero(eq) if j >= i and eq[i : j + 1].sum() >= 0.8 * (j - i + 1) - 1e-9), default=(0, 0))
+                if run[0] and run[0] >= decontam.needed(len(item), 0.8):
+                    s = -run[1] + a + d
+                    n = int(eq[-run[1] : -run[1] + run[0]].sum())
+                    if best is None or (n, -d) > (best[0], -best[1]):
+                        best = (n, d, s, s + run[0])
+            if best:
+                out.append((t, k, best[2], best[3], best[0]))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 3])
+def test_hits_against_brute_force(monkeypatch, pairs):
+    """Few different tokens, so seeds repeat in items and texts; with small steps every way to make meetings is taken."""
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
+    rng = np.random.default_rng(pairs)
+    for _ in range(60):
+        kinds = rng.integers(1, 1 << 62, int(rng.integers(2, 9)), dtype=np.uint64)
+        items = [rng.choice(kinds, int(rng.integers(1, 14))) for _ in range(4)]
+        texts = [rng.choice(kinds, int(rng.integers(0, 30))) for _ in range(4)]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        assert list(decontam.Block(list(range(4)), items, decontam.MASKS).hits(np.concatenate(texts), first)) == brute_hits(items, np.concatenate(texts), first)
+
+
+def test_repeated_tokens_stay_cheap():
+    """A text of a million bytes of one word, or of a few in turn, against an item of the same."""
+    import time
+
+    for unit in ("w ", "a b ", "a b c d e f g "):
+        item = decontam.tokens(pa.array([unit * (400 // len(unit))]))
+        block = decontam.Block([0], [item.hash], decontam.MASKS, words=[decontam.spelled(item)])
+        began = time.perf_counter()
+        w = decontam.tokens(pa.array([unit * ((1 << 20) // len(unit))]))
+        n = len(item.hash)
+        assert list(block.hits(w.hash, w.first, w)) == [(0, 0, 0, n, n)]
+        assert time.perf_counter() - began < 60
+
+
 def test_every_substitution_within_the_rule_is_found():
     """All ways to replace a fifth of the tokens, for items of 1 to 16 tokens; random ways for longer ones."""
     rng = np.random.default_rng(0)
@@ -283,6 +331,73 @@ def test_automaton_dedup(docs, rows, empty, cap):
     assert automaton_dedup.dedup(empty).count() == 0
 
 
+def test_against_a_reference(spark, docs, rows, empty):
+    """Every stretch of 20 words that a reference text holds, over any number of automata; and the rule of
+    :func:`automaton_dedup.dedup` for the same reference put in front of the documents."""
+    ref = [rows[k][1] for k in (3, 45, 60, 70)] + ["", None, "too short to matter"]
+    reference = spark.createDataFrame([(t,) for t in ref], "text string")
+    held = {tuple(w[k : k + 20]) for t in ref for w in [WORD.findall(t or "")] for k in range(len(w) - 19)}
+    want = []
+    for doc_id, t, *_ in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in held:
+                gone[k : k + 20] = [True] * 20
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    for size in (1 << 18, 400):
+        assert table_of(automaton_dedup.against(docs, reference, shard_bytes=size).drop("spans")) == sorted(want, key=repr)
+    assert automaton_dedup.against(empty, reference).count() == 0 and automaton_dedup.against(docs, empty).where("n_removed > 0").count() == 0
+    # the streamed automata and the routed windows agree: only what the reference holds is compared
+    first = [(-9 + k, t) for k, t in enumerate(ref)]
+    alone = [(r[0], r[1]) for r in rows if r[0] is not None and r[0] < 30]
+    both = spark.createDataFrame(first + alone, "doc_id long, text string")
+    routed = {r.doc_id: r.n_removed for r in automaton_dedup.dedup(both).collect()}
+    streamed = {r.doc_id: r.n_removed for r in automaton_dedup.against(spark.createDataFrame(alone, "doc_id long, text string"), reference).collect()}
+    assert all(routed[k] >= n for k, n in streamed.items()) and streamed[3] == routed[3] > 0
+
+
+def thue_morse(n, one="a", two="b"):
+    t = one
+    while len(t) < n:
+        t += t.translate(str.maketrans(one + two, two + one))
+    return t, t.translate(str.maketrans(one + two, two + one))
+
+
+def test_doubling_patterns_are_no_equal_texts(spark):
+    """Strings that sums modulo a power of two cannot tell apart are different lines, words and windows."""
+    a, b = thue_morse(1024)
+    assert a != b
+    buf = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    w = common.words(buf, np.array([0, len(buf)]))
+    assert w.hash[0] == w.hash[2] != w.hash[1] and w.classes[0][0] == w.classes[0][2] != w.classes[0][1]
+    rest = [f"w{k}" for k in range(24)]
+    texts = [f"{a}\n{b}\n", " ".join([a, *rest]), " ".join([b, *rest]), f"{a} x y {b} x y {a} z", (a + "c") * 2, (b + "c") * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert got[0].n_dup_lines == 0 and got[3].n_repeat_words == 0
+    rows = list(enumerate(texts))
+    assert table_of(automaton_dedup.dedup(df)) == brute_words(rows, 20)
+    assert table_of(suffix_dedup.dedup(df)) == brute_bytes(rows, 400)
+    bench = spark.createDataFrame([(1, f"{a} one two three four"), (2, " ".join([a] * 5))], "item_id long, text string")
+    hits = spark.createDataFrame([(1, f"{b} one two three four five"), (2, " ".join([b] * 5))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_equal) for r in decontam.overlaps(hits, bench).collect()] == [(1, 4)]
+
+
+def test_classes_under_one_hash():
+    """Spans of equal hashes are parted by their bytes, however many there are."""
+    rng = np.random.default_rng(3)
+    buf = rng.integers(97, 100, 4000).astype(np.uint8)
+    s = rng.integers(0, 3000, 400)
+    e = s + rng.integers(0, 3, 400) + np.where(rng.random(400) < 0.1, 700, 0)
+    for h in (np.zeros(400, np.uint64), (s % 7).astype(np.uint64) * np.uint64(0), common.span_hash(common.prefix_hash(buf), s, e)):
+        number, first = common.exact(buf, s, e, h)
+        names = [buf[a:b].tobytes() for a, b in zip(s, e)]
+        assert len(set(zip(names, number.tolist()))) == len(set(names)) == len(set(number.tolist())) == len(first)
+        assert all(names[first[n]] == x for n, x in zip(number.tolist(), names))
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for trial in range(150):
@@ -369,6 +484,44 @@ def test_chat_links(spark):
     assert link_rows(spark, [], f).count() == 0
 
 
+def test_conversations_of_any_size(spark):
+    """Ordering in a task and by rounds of joins give the same; a chain of a thousand calls takes no thousand jobs."""
+    f = {"f": {"type": "object"}}
+    rng = random.Random(6)
+    m = [(7, 0, "assistant", calls(*((f"k{k}", "f", {"x": f"$k{k + 1}"} if k < 999 else {}) for k in range(1000))))]
+    for conv in range(3):
+        m += [(conv, t, "assistant", calls(*((f"c{t}_{k}", "f", {str(j): f"$c{rng.randrange(6)}_{rng.randrange(3)}" for j in range(rng.randrange(3))}) for k in range(3)))) for t in range(6)]
+        m += [(conv, 6 + t, "tool", result(f"c{t}_{k}")) for t in range(6) for k in range(2)]
+    m += [(None, 1, "assistant", calls(("a", "f", {"x": "$b"}), ("b", "f", {})))]
+    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    one = table_of(chat_tools.link(df, f))
+    small = df.where("conv_id IS NULL OR conv_id < 7")
+    assert table_of(chat_tools.link(small, f, most=0)) == [r for r in one if r[0] != 7] and len(one) == len([r for r in one if r[0] != 7]) + 1000
+    chain = sorted((r[10], r[5]) for r in one if r[0] == 7)
+    assert [c for _, c in chain] == [f"k{k}" for k in range(999, -1, -1)]
+
+
+def test_hostile_messages(spark):
+    f = {"f": {"type": "object", "properties": {"x": {"type": "strange"}}}}
+    deep = lambda n: "[" * n + "]" * n
+    half = "\\ud800"
+    m = [
+        (1, 0, "assistant", f'{{"tool_calls":[{{"id":"{half}","name":"f","arguments":{{}}}}]}}'),
+        (1, 1, "assistant", f'{{"tool_calls":[{{"id":"a","name":"f","arguments":{{"y":"{half}"}}}}]}}'),
+        (1, 2, "tool", f'{{"tool_call_id":"a","content":"{half}"}}'),
+        (2, 0, "assistant", f'{{"tool_calls":[{{"id":"a","name":"f","arguments":{{"y":{deep(3000)}}}}}]}}'),
+        (2, 1, "assistant", f'{{"tool_calls":[{{"id":"b","name":"f","arguments":{{"y":{deep(200000)}}}}}]}}'),
+        (2, 2, "tool", f'{{"tool_call_id":"b","content":{deep(150)}}}'),
+        (3, 0, "assistant", calls(("a", "f", {"x": 1}))),
+        (4, 0, "user", "long " * 3_000_000),
+        (4, 1, "assistant", calls(("a", "f", {"z": "v" * 3_000_000}))),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_rows(spark, m, f).collect()}
+    assert {k: v.status for k, v in got.items()} == {(1, 0): "malformed", (1, 1): "ok", (1, 2): "ok", (2, 0): "malformed", (2, 1): "malformed", (2, 2): "malformed", (3, 0): "invalid", (4, 0): "message", (4, 1): "unanswered"}
+    assert json.loads(got[1, 1].json)["arguments"]["y"] == "\ud800" and json.loads(got[2, 0].json)["content"] == m[3][3]
+    assert got[3, 0].errors == ["/x: not strange"] and len(got[4, 1].json) > 3_000_000
+
+
 def test_canonical_json_round_trip():
     v = {"b": [1.0, 2.5, True, None, "é\n"], "a": {"z": 1, "y": {}}}
     assert chat_tools.canonical(v) == '{"a":{"y":{},"z":1},"b":[1,2.5,true,null,"é\\n"]}'

@@ -25,13 +25,14 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import covered, slices, texts
 from .repeats import Plan, flags_to_runs, normal, spans, with_text
 
 LENGTH, GRAM = 20, 5
@@ -163,3 +164,52 @@ def dedup(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
         F.when(later, F.col("n_units")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(later, F.lit(empty)).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
     )
+
+
+#: Bytes of reference text in one automaton; it takes some 100 times as much memory.
+REFERENCE_BYTES = 1 << 18
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPANS = "array<struct<start:int,stop:int>>"
+
+
+def against(docs: DataFrame, reference: DataFrame, length: int = LENGTH, shard_bytes: int = REFERENCE_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and spans of every row of ``docs``: words go that lie in a
+    stretch of at least ``length`` words that a text of ``reference`` holds.
+
+    The reference is cut into shards of about ``shard_bytes`` (one longer text is a
+    shard of its own); the driver builds one automaton after the other and
+    broadcasts it, and the texts stream past all of them in one stage. So it is for
+    references of a size that so many passes can afford, such as a benchmark."""
+    spark = docs.sparkSession
+    ref = reference.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    shards = max(1, -(-(ref.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    out = texts(docs).withColumn("spans", F.array().cast(_SPANS))
+    for k in range(shards):
+        known = Automaton()
+        for r in ref.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).toLocalIterator():
+            known.add(_WORD.findall(r["text"].encode()))
+        held = spark.sparkContext.broadcast(known)
+
+        def past(batches, held=held):
+            for rows in batches:
+                found = []
+                for text, old in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist()):
+                    far = held.value.statistics(_WORD.findall(text.encode()))
+                    ends = [e for e, n in enumerate(far) if n >= length and (e + 1 == len(far) or far[e + 1] <= n)]
+                    found.append(old + [{"start": e - far[e] + 1, "stop": e + 1} for e in ends])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array(found, rows.schema.field("spans").type)], names=["doc_id", "text", "spans"])
+
+        out = out.mapInArrow(past, f"doc_id long, text string, spans {_SPANS}")
+
+    def finish(batches):
+        for rows in batches:
+            told = []
+            for text, spans_ in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist()):
+                w = _WORD.findall(text.encode())
+                gone = covered(np.array([x["start"] for x in spans_], np.int64), np.array([x["stop"] for x in spans_], np.int64), len(w))
+                kept = b" ".join(x for x, g in zip(w, gone.tolist()) if not g)
+                told.append((len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in flags_to_runs(gone)]))
+            kinds = (pa.int64(), pa.int64(), pa.string(), rows.schema.field("spans").type)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array([x[j] for x in told], t) for j, t in enumerate(kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+
+    return out.mapInArrow(finish, f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans {_SPANS}")

@@ -11,8 +11,9 @@ A target above a source's size takes every document once and a part of them
 twice. The boundary value itself is taken where that brings the sum nearer.
 
 Null text: size 0. Null doc_id: hashed as an empty text, with the document's
-text. Null source: a source of its own, last. Rows equal in doc_id and text
-share a hash, and are taken or left together. Sources without words get target
+text. Null source: a source of its own, last. Very long texts count whole, and
+the one on a boundary is taken where that comes nearer. Ties: rows equal in
+doc_id (of null ids: in text) share a hash, and are taken or left together. Sources without words get target
 0. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -122,7 +123,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int =
     rows = cut(sized(docs))
     # the row travels as one struct, so its columns cannot clash with those of the join
     whole = docs.select(F.struct("*").alias("row"), "source", hash52().alias("h"), word_count().alias("size"))
-    taken = _copies(whole, thresholds(rows, weights, budget, most)).where("size > 0 AND copies > 0")
+    found = thresholds(rows, weights, budget, most)
+    drop_cut(rows)
+    taken = _copies(whole, found).where("size > 0 AND copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
