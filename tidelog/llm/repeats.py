@@ -39,6 +39,8 @@ from .common import cut, drop_cut, even_hash, exact, free_shuffles, mix, partiti
 CAP, SHARD_BYTES = 500, 1 << 20
 #: Windows looked at once, and bytes of segments handed on at once.
 PIECE, BATCH_BYTES = 1 << 20, 16 << 20
+#: Windows from which a segment is looked at for a period.
+UNROLL = 4096
 LAST = (1 << 63) - 1
 
 
@@ -187,6 +189,42 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def longest_run(flags: np.ndarray) -> tuple[int, int]:
+    """(first, stop) of the longest stretch of True, empty if there is none."""
+    d = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    a, b = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+    return (int(a[k]), int(b[k])) if len(a) and (k := int((b - a).argmax())) >= 0 else (0, 0)
+
+
+def unrolled(sym: Symbols, n: int) -> list[tuple[int, int, int, bool]]:
+    """A long segment in which windows may occur again, as (first window, windows, weight, settled) parts.
+
+    Where it goes on in one period, as anchors at equal distances tell and a
+    comparison with itself proves, only the windows of the first period are left,
+    and all later ones of that stretch are settled."""
+    length, todo, out = sym.plan.length, [(0, n)], []
+    number = exact(sym.buf, sym.starts, sym.ends, span_hash(prefix_hash(sym.buf), sym.starts, sym.ends))[0] if sym.plan.by_words else sym.buf
+    while todo:
+        a, b = todo.pop()
+        if b <= a:
+            continue
+        p = 0
+        if b - a > UNROLL:
+            mid = (a + b) // 2
+            apart = np.diff(np.unique(sym.piece(max(a, mid - PIECE // 2), min(b, mid + PIECE // 2))[0]))
+            p = int(np.bincount(apart).argmax()) if len(apart) and apart.max() < PIECE else 0
+        if p:
+            mine = number[a : b - 1 + length]
+            x, y = longest_run(mine[:-p] == mine[p:])
+            last = y + p - length  # the last window of the stretch
+            if last - x + 1 >= max(2 * p, (b - a) // 8):
+                out += [(a + x, p, 2, False), (a + x + p, last + 1 - x - p, 1, True)]
+                todo += [(a, a + x), (a + last + 1, b)]
+                continue
+        out.append((a, b - a, 1, False))
+    return out
+
+
 def _cut_out(plan: Plan):
     """Joined rows (nid, own, text, runs) to segments, in batches of bounded bytes."""
 
@@ -204,12 +242,25 @@ def _cut_out(plan: Plan):
             if not len(h):
                 continue
             a = s + sym.first[doc]
+            weight, settled = np.ones(len(h), np.int32), np.zeros(len(h), bool)
+            far = np.flatnonzero(many.to_numpy(zero_copy_only=False) & (n > UNROLL))
+            if len(far):
+                rest = np.setdiff1d(np.arange(len(h)), far)
+                of, off_, num, wt, done = [rest], [np.zeros(len(rest), np.int64)], [n[rest]], [weight[rest]], [settled[rest]]
+                for k in far.tolist():
+                    x, y = sym.edges(a[k], a[k] + n[k] - 1 + plan.length)
+                    parts = np.array(unrolled(Symbols(sym.buf[x:y], np.array([0, y - x]), plan), int(n[k])), np.int64).reshape(-1, 4)
+                    for to, v in zip((of, off_, num, wt, done), (np.full(len(parts), k), *parts.T)):
+                        to.append(v)
+                of, off_, n, weight, settled = (np.concatenate(x) for x in (of, off_, num, wt, done))
+                h, doc, s, a, many, settled = h[of], doc[of], s[of] + off_, a[of] + off_, many.take(pa.array(of)), settled.astype(bool)
             lo, hi = sym.edges(a, a + n - 1 + plan.length)
+            hi = np.where(settled, lo, hi)  # what is settled needs no bytes
             own, nid = rows.column("own"), rows.column("nid")
             for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(np.cumsum(hi - lo) // BATCH_BYTES)) + 1):
                 data = [sym.buf[x:y].tobytes() for x, y in zip(lo[part].tolist(), hi[part].tolist())]
                 take = pa.array(doc[part])
-                columns = [pa.array(h[part]), pa.array([digest(x) for x in data], pa.binary()), pa.array(n[part].astype(np.int32)), many.take(pa.array(part)), pa.array(data, pa.binary()), own.take(take), nid.take(take), pa.array(s[part].astype(np.int32)), pa.array(np.ones(len(part), np.int32)), pa.array(np.zeros(len(part), bool))]
+                columns = [pa.array(h[part]), pa.array([digest(x) for x in data], pa.binary()), pa.array(n[part].astype(np.int32)), many.take(pa.array(part)), pa.array(data, pa.binary()), own.take(take), nid.take(take), pa.array(s[part].astype(np.int32)), pa.array(weight[part].astype(np.int32)), pa.array(settled[part])]
                 yield pa.RecordBatch.from_arrays(columns, schema=_KINDS)
 
     return run
@@ -233,17 +284,25 @@ def _split(plan: Plan, width: int):
                 alone = np.zeros(len(s), bool)
                 alone[firsts] = True
                 count = np.bincount(kinds, minlength=len(firsts))[kinds]
-                core = [x.tolist() for x in sym.edges(one, two)]
-                for k in range(len(s)):
-                    part = b"" if not alone[k] else sym.buf[lo[k] : hi[k]].tobytes()
-                    name = digest(sym.buf[core[0][k] : core[1][k]].tobytes()) if width == 1 and alone[k] else digest(part)
-                    row = (int(key[k].view(np.int64)), name, int(n[k]), bool(twice[k]), part if width > 1 else b"", f["own"], f["nid"], f["s"] + int(s[k]), 2 if n_occ > 1 or count[k] > 1 else 1, not alone[k])
+                core_lo, core_hi = sym.edges(one, two)
+
+                def add(k: int, windows: int, part: bytes, name: bytes, done: bool) -> None:
+                    row = (int(key[k].view(np.int64)), name, windows, bool(twice[k]), part, f["own"], f["nid"], f["s"] + int(s[k]), 2 if n_occ > 1 or count[k] > 1 else 1, done)
                     for x, v in zip(out.values(), row):
                         x.append(v)
+
+                for k in np.flatnonzero(alone).tolist():
+                    part = sym.buf[lo[k] : hi[k]].tobytes()
+                    name = digest(sym.buf[core_lo[k] : core_hi[k]].tobytes()) if width == 1 else digest(part)
+                    add(k, int(n[k]), part if width > 1 else b"", name, False)
                     size += len(part)
                     if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pydict(out, schema=_KINDS)
                         out, size = {x: [] for x in out}, 0
+                # neighbouring ranges that are settled are one
+                d = np.diff(np.concatenate(([1], alone.astype(np.int8), [1])))
+                for k, j in zip(np.flatnonzero(d == -1).tolist(), np.flatnonzero(d == 1).tolist()):
+                    add(k, int(s[j - 1] + n[j - 1] - s[k]), b"", b"", True)
             yield pa.RecordBatch.from_pydict(out, schema=_KINDS)
 
     return run
