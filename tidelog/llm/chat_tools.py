@@ -8,7 +8,7 @@ that is exactly ``$<id>`` stands for the result of that call.
 
 Calls and results are hash-joined on (conv_id, call id). Calls are ordered
 topologically by Kahn's rounds. A conversation of at most ``most`` references is
-ordered in one task, which holds no more than these. One with more is ordered by
+ordered in one task, together with others up to about as many references again. One with more is ordered by
 rounds of joins, each between the calls placed in the round before and those
 that wait for them, so a conversation of any size is never in one task; it takes
 as many rounds as its longest chain of references. Every event gets ``at`` (a
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, drop_cut
+from .common import bound_batches, cut, drop_cut, partitions
 
 _EVENT = "conv_id long, turn long, idx int, role string, kind string, call_id string, name string, errors array<string>, status string, deps array<string>, json string"
 #: Levels of nesting that a message may have.
@@ -204,20 +204,20 @@ def parse(messages: DataFrame, schemas: dict) -> DataFrame:
 
 
 def _order(rows: pa.Table) -> pa.Table:
-    """Kahn's rounds over the references of one conversation; rows are calls with one thing that they need."""
-    need: dict[str, set[str]] = {}
-    turns: dict[str, tuple[int, int]] = {}
-    for call, dep, c, r, dc, dr in zip(*(rows.column(k).to_pylist() for k in ("call_id", "dep", "c_turn", "r_turn", "dep_c", "dep_r"))):
-        need.setdefault(call, set()).add(dep)
-        turns[call], turns[dep] = (c, r), (dc, dr)
-    waiting: dict[str, list[str]] = {}
+    """Kahn's rounds over the references of some conversations; rows are calls with one thing that they need."""
+    need: dict[tuple, set[tuple]] = {}
+    turns: dict[tuple, tuple] = {}
+    for conv, call, dep, c, r, dc, dr in zip(*(rows.column(k).to_pylist() for k in ("conv_id", "call_id", "dep", "c_turn", "r_turn", "dep_c", "dep_r"))):
+        need.setdefault((conv, call), set()).add((conv, dep))
+        turns[conv, call], turns[conv, dep] = (c, r), (dc, dr)
+    waiting: dict[tuple, list[tuple]] = {}
     for call, deps in need.items():
         for dep in deps:
             waiting.setdefault(dep, []).append(call)
     open_ = {call: len(deps) for call, deps in need.items()}
     level, at, done = {}, {}, {}
 
-    def place(call: str, lv: int, after: int) -> None:
+    def place(call: tuple, lv: int, after: int) -> None:
         c, r = turns[call]
         level[call], at[call] = lv, max(after, -1 if c is None else c)
         done[call] = max(at[call], -1 if r is None else r)
@@ -235,14 +235,13 @@ def _order(rows: pa.Table) -> pa.Table:
         for call in ready:
             place(call, max(level[d] for d in need[call]) + 2, max(done[d] for d in need[call]))
         wave = ready
-    stuck = [call for call in need if call not in level]
+    stuck = {call for call in need if call not in level}
     for call in stuck:
         place(call, 0, -1)
     names = list(need)
-    cyclic = set(stuck)
-    conv = pa.array([rows.column("conv_id")[0].as_py()] * len(names), pa.int64())
-    kinds = (pa.int32(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([conv, pa.array(names, pa.string()), *(pa.array([x[k] for k in names], t) for x, t in zip((level, at, done), kinds)), pa.array([k in cyclic for k in names])], names=["conv_id", "call_id", "level", "at", "done_at", "cyclic"])
+    columns = [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.string())]
+    columns += [pa.array([x[k] for k in names], t) for x, t in ((level, pa.int32()), (at, pa.int64()), (done, pa.int64()))]
+    return pa.Table.from_arrays([*columns, pa.array([k in stuck for k in names], pa.bool_())], names=["conv_id", "call_id", "level", "at", "done_at", "cyclic"])
 
 
 _PLACED = "conv_id long, call_id string, level int, at long, done_at long, cyclic boolean"
@@ -316,15 +315,22 @@ def link(messages: DataFrame, schemas: dict, most: int = MOST) -> DataFrame:
     dangling = edges.where(~F.col("there")).select(*key).distinct().withColumn("dangles", F.lit(True))
     open_edges = edges.where("there").drop("there")
 
-    # conversations by their number of references: most are ordered in a task, the others by rounds
-    large = cut(open_edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("conv_id").alias("_conv")))
+    # conversations by their number of references: most are ordered in tasks of about ``most`` of them, the others by rounds
+    counted = cut(open_edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = counted.where(F.col("n") > most).select(F.col("conv_id").alias("_conv"))
+
+    def dealt(df):
+        task = F.pmod(F.xxhash64("conv_id"), F.lit(max(partitions(everything.sparkSession), total // max(most, 1))))
+        return df.withColumn("task", task).groupBy("task").applyInArrow(_order, _PLACED)
+
     if large.limit(1).count():
         is_large = open_edges["conv_id"].eqNullSafe(large["_conv"])
-        ordered = open_edges.join(large, is_large, "left_anti").groupBy("conv_id").applyInArrow(_order, _PLACED).unionByName(_rounds(cut(open_edges.join(large, is_large, "left_semi"))))
+        ordered = dealt(open_edges.join(large, is_large, "left_anti")).unionByName(_rounds(cut(open_edges.join(large, is_large, "left_semi"))))
     else:
-        ordered = open_edges.groupBy("conv_id").applyInArrow(_order, _PLACED)
+        ordered = dealt(open_edges)
     ordered = cut(ordered)
-    drop_cut(large)
+    drop_cut(counted)
     o = renamed(ordered.select(*key))
     at = F.coalesce("c.turn", F.lit(-1)).cast("long")
     free = pair.join(o, on(pair, o), "left_anti").select(*key, F.lit(0).alias("level"), at.alias("at"), F.greatest(at, F.coalesce("r.turn", F.lit(-1))).cast("long").alias("done_at"), F.lit(False).alias("cyclic"))
