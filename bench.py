@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import os
 import shutil
@@ -73,6 +74,17 @@ def merge_cases(spark) -> dict[str, float]:
     return out
 
 
+def corpus_cases(spark, sf: str) -> dict[str, float]:
+    """Every training-data query and the pipeline, once each, where the subpackage is there."""
+    if importlib.util.find_spec("tidelog.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return {}
+    import corpus_pipeline
+    from tidelog.llm.queries import QUERIES as corpus
+
+    every = {**corpus, "pipeline": corpus_pipeline.run}
+    return {name: timed(lambda f=f: sink(f(spark, sf)), 1) for name, f in every.items()}
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -88,8 +100,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {name: timed(lambda f=QUERIES[name]: sink(f(spark, sf))) for name in HEADLINE}
     root = tempfile.mkdtemp(prefix="bench-")
+    spark.conf.set("spark.checkpoint.dir", f"file://{root}/shared")
     try:
-        times |= store_cases(spark, sf, root) | merge_cases(spark)
+        times |= store_cases(spark, sf, root) | merge_cases(spark) | corpus_cases(spark, sf)
     finally:
         shutil.rmtree(root, ignore_errors=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))

@@ -1,4 +1,17 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, sharding.
+
+Each stage reads what the one before has written and returns the columns of its
+input, whatever their names; the last one adds ``shard`` and ``slot``. Null and
+empty texts go in the first stage, which wants 50 words; a stage that is called
+by itself takes them as empty texts. Very long texts are judged whole. Ties: of
+near duplicates the row with the smallest doc_id stays, of rows with that id the
+one with the smallest text digest; rows equal in doc_id are mixed together.
+Repeated rows: one stays in the second stage. Null doc_id: like any other, last
+among equals. Null source: a source of its own. An empty table, or one of which
+nothing is left, gives an empty result with the same columns. A name of the
+input that is also ``shard`` or ``slot`` stands twice after the last stage, so
+rename it before.
+"""
 
 from __future__ import annotations
 

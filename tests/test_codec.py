@@ -1,5 +1,6 @@
 import struct
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -81,3 +82,12 @@ def test_oracle_conflicts():
     o.done_read(early)
     o.done_commit(o.commit_ts(o.read_ts(), set(), {b"44"}))
     assert set(o.committed) == {4} and o.discard_at_or_below() == 3
+
+
+def test_xxh64_of_every_length(spark):
+    xxhash = pytest.importorskip("xxhash")
+    values = [bytes((7 * k + n) % 256 for k in range(n)) for n in range(100)]
+    rows = spark.createDataFrame([(n, bytearray(v)) for n, v in enumerate(values)] + [(100, None)], "n int, v binary").select("n", C.xxh64("v").alias("h")).collect()
+    for r in rows:
+        want = None if r.n == 100 else int.from_bytes(xxhash.xxh64_digest(values[r.n], 0), "big", signed=True)
+        assert r.h == want

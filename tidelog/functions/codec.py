@@ -6,10 +6,9 @@ import functools
 import math
 import zlib
 
-import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ..model import DELETE, POINTER_SIZE, RESERVED_PREFIX
 
@@ -230,12 +229,15 @@ def crc32(c) -> Column:
     return F.crc32(_c(c))
 
 
-@F.pandas_udf(LongType())
-def xxh64(values: pd.Series) -> pd.Series:
-    """xxHash64 with seed 0 as a signed long; Spark's own has another seed, so this one needs Arrow batches."""
-    import xxhash
-
-    return values.map(lambda v: None if v is None else (x := xxhash.xxh64_intdigest(bytes(v), 0)) - (1 << 64 if x >> 63 else 0))
+def xxh64(c) -> Column:
+    """xxHash64 with seed 0 as a signed long, null for null: Spark's own expression, whose function
+    in the Python API has another seed."""
+    col = _c(c)
+    jvm = SparkContext._active_spark_context._jvm
+    tools = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    children = jvm.PythonUtils.toSeq([tools.expression(col._jc)])
+    hashed = jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(children, jvm.java.lang.Long(0))
+    return F.when(col.isNotNull(), Column(tools.column(hashed)))
 
 
 def crc32_of(data: bytes) -> int:
