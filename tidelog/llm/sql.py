@@ -68,10 +68,24 @@ q AS (SELECT o.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY o.
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN q ON q.doc_id = d.doc_id
 """
 
+BYTE_WINDOWS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, md5(b[s:s + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS s FROM d WHERE octet_length(b) >= 400)),
+c AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+i AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM c),
+j AS (SELECT r, s, sum(CASE WHEN p IS NULL OR s > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS k FROM i),
+e AS (SELECT r, min(s) AS a, max(s) + 399 AS e FROM j GROUP BY r, k),
+x AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS pe FROM e),
+t AS (SELECT d.r, count(*) AS n_spans, sum(e - a + 1) AS n_removed, string_agg(hex(b[pe + 1:a - 1]), '' ORDER BY a) || hex(any_value(b)[max(e) + 1:octet_length(any_value(b))]) AS kept FROM x JOIN d ON d.r = x.r GROUP BY d.r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN t ON t.r = d.r
+"""
+
 ORACLES = {
     "op1_tool_links": TOOL_LINKS,
     "op3_quality_cascade": QUALITY,
     "op5_histogram_mix": MIX_SQL.replace("{docs}", "documents"),
+    "op7_suffix_array": BYTE_WINDOWS,
     "op8_bagminhash": NEAR,
     "op9_suffix_automata": WINDOWS,
 }
