@@ -31,6 +31,9 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a folder of
     this machine serves a local master, and anything else is an error, since executors would not see it."""
@@ -39,8 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _local:  # the setting itself cannot be changed while an application runs
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+        found = _local[app]
     return found
 
 
