@@ -100,7 +100,6 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {name: timed(lambda f=QUERIES[name]: sink(f(spark, sf))) for name in HEADLINE}
     root = tempfile.mkdtemp(prefix="bench-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}/shared")
     try:
         times |= store_cases(spark, sf, root) | merge_cases(spark) | corpus_cases(spark, sf)
     finally:
