@@ -694,15 +694,14 @@ def txn_managed(spark, sf):
 def store_write_batch(spark, sf):
     """All suppliers written in batches of at most ten, those of one nation deleted in others."""
     s = _empty(spark, max_batch_count=11, num_level_zero_tables_stall=50)
-    rows = [(b"s%05d" % r.s_suppkey, r.s_name.encode(), r.s_nationkey) for r in D.table(spark, sf, "supplier").orderBy("s_suppkey").toLocalIterator()]
+    suppliers = D.table(spark, sf, "supplier").orderBy("s_suppkey")
     b = s.write_batch()
-    for key, name, _ in rows:
-        b.set(key, name)
+    for r in suppliers.select("s_suppkey", "s_name").toLocalIterator():
+        b.set(b"s%05d" % r.s_suppkey, r.s_name.encode())
     b.flush()
     b = s.write_batch()
-    for key, _, nation in rows:
-        if nation == 0:
-            b.delete(key)
+    for r in suppliers.where("s_nationkey = 0").select("s_suppkey").toLocalIterator():
+        b.delete(b"s%05d" % r.s_suppkey)
     b.flush()
     return told(s.scan(now_ms=NOW).select("user_key", "value"))
 
