@@ -156,3 +156,17 @@ def test_suffix_array_on_the_table(spark, sf):
     want = brute_against_windows([(r.doc_id, (r.text or "").encode()) for r in d.collect()], 400)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(d).collect()}
     assert got == want and any(n for _, n, _ in want.values())
+
+
+def test_the_rule_is_400_bytes_not_51_words(spark):
+    """A passage of 51 words goes from 400 bytes on; one byte less, or other white space, and all of it stays."""
+    words = [f"w{k:02d}" + "abcd"[: k % 3 + 2] for k in range(51)]
+    words[-1] += "z" * (400 - len(" ".join(words)))
+    at = " ".join(words)
+    under, wide = "q" + at[2:], " ".join(f"é{k:02d}mot" for k in range(51))  # 399 bytes; 407 bytes of 356 characters
+    assert (len(at), len(under), len(wide.encode()), len(wide)) == (400, 399, 407, 356)
+    assert [len(x.split()) for x in (at, under, wide)] == [51] * 3
+    reflowed = " ".join(f"v{k:02d}enough" for k in range(51))  # 509 bytes
+    texts = [f"a {at} b", f"c {at} d", f"e\n{under}\nf", f"g\t{under}\th", f"i {wide} j", f"k {wide} l", f"m {reflowed}", f"n {reflowed}".replace(" v25", "\nv25")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (402, 1), 1: (402, 1), 2: (0, 0), 3: (0, 0), 4: (409, 1), 5: (409, 1), 6: (0, 0), 7: (0, 0)}
